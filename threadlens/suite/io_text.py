@@ -437,7 +437,7 @@ def gold_and_pred(spark, sf):
 
 
 GOLD_PRED = (
-    "labelled AS (SELECT brand_tweet_id, "
+    "labelled AS MATERIALIZED (SELECT brand_tweet_id, "
     + q.cascade("lower(current_customer_message)", lx.SILVER_INTENTS, "unknown")
     + " AS gold, candidate_intent AS pred, candidate_score FROM v2)"
 )
