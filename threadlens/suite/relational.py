@@ -110,7 +110,7 @@ def _jn5(spark, sf):
 
 
 # Pair-level walk as a recursive query.
-_THREADS = """hops AS (
+THREADS_SQL = """hops AS (
   SELECT brand_tweet_id AS root, 0 AS n, brand_tweet_id AS at, customer_in_response_to AS ptr,
     CAST([] AS VARCHAR[]) AS seen
   FROM pairs
@@ -135,7 +135,7 @@ def _prev(n: int) -> str:
     )
 
 
-_WIDE = (
+WIDE_SQL = (
     f"SELECT customer_tweet_id, brand_tweet_id, {q.strip('customer_text')} AS customer_text, "
     f"customer_in_response_to, {_prev(1)}, {_prev(2)}, {_prev(3)}, "
     "(SELECT count(*) FROM turns t WHERE t.root = p.brand_tweet_id)::INTEGER AS previous_turn_count "
@@ -153,7 +153,7 @@ def _wide_view(p, t):
 
 @query(
     "jn6_thread_turns",
-    q.with_(q.EVENT_TWEETS, q.PAIRS, _THREADS)
+    q.with_(q.EVENT_TWEETS, q.PAIRS, THREADS_SQL)
     + "SELECT root AS brand_tweet_id, n::INTEGER AS turn, brand_tweet_id AS turn_brand_tweet_id, "
     "customer_tweet_id AS turn_customer_tweet_id FROM turns",
 )
@@ -168,7 +168,7 @@ def _jn6(spark, sf):
     )
 
 
-@query("jn7_thread_wide", q.with_(q.TWEETS, q.PAIRS, _THREADS) + _WIDE)
+@query("jn7_thread_wide", q.with_(q.TWEETS, q.PAIRS, THREADS_SQL) + WIDE_SQL)
 def _jn7(spark, sf):
     t = fx.tweets(spark, sf)
     return _wide_view(fx.pairs(spark, sf), t)
