@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.functions import lexicons as lx
 from threadlens.functions import text as tx
 from threadlens.operators.sizing import HOT_ROWS, broadcast_bounded, salted_join
 
@@ -29,10 +29,6 @@ class TermSettings:
     accents: bool = True  # False strips them first
 
 
-def english_stop_words() -> tuple[str, ...]:
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
-
-
 # The settings of each model of this package
 BASELINE = TermSettings(min_df=2, max_df=0.95, max_features=100_000, accents=False)
 FINAL = TermSettings(min_df=2, max_df=0.95, max_features=100_000)
@@ -42,8 +38,8 @@ DEMO = TermSettings()
 def topic_settings(k_means: bool = False) -> TermSettings:
     """Settings of the common-term ranking, or of the K-means features."""
     if k_means:
-        return TermSettings(10, 0.90, 15_000, english_stop_words())
-    return TermSettings(20, 0.80, 5_000, english_stop_words())
+        return TermSettings(10, 0.90, 15_000, tuple(lx.ENGLISH_STOP_WORDS))
+    return TermSettings(20, 0.80, 5_000, tuple(lx.ENGLISH_STOP_WORDS))
 
 
 def ngrams(text: Column | str, settings: TermSettings = DEMO) -> Column:
