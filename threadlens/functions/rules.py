@@ -10,7 +10,7 @@ whose size grows with the labels rather than with the phrases.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,17 +35,55 @@ def phrase_list(phrases: Sequence[str]) -> Column:
     return F.split(F.lit("\n".join(phrases)), "\n")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row.
+
+    A lambda evaluates whatever it refers to once per element, and the optimizer
+    inlines projected columns into it: without this, cleaning or lowering a text
+    would run again for every phrase."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+# The underscored forms expect a bound value; the public ones bind it.
+
+
+def _any(t: Column, phrases: Sequence[str]) -> Column:
+    return F.exists(phrase_list(phrases), lambda p: F.contains(t, p))
+
+
+def _hits(t: Column, phrases: Sequence[str]) -> Column:
+    return F.filter(phrase_list(phrases), lambda p: F.contains(t, p))
+
+
+def _any_word(t: Column, phrases: Sequence[str]) -> Column:
+    words = "|".join(re.escape(p) for p in phrases)
+    return F.rlike(t, F.lit(rf"(?U)\b(?:{words})\b"))
+
+
+def _cascade(t: Column, rules: Rules, default: str, any_of) -> Column:
+    steps = [F.when(any_of(t, phrases), F.lit(label)) for label, phrases in rules.items()]
+    return F.coalesce(*steps, F.lit(default))
+
+
+def _scored(score_of: Callable[[Sequence[str]], Column], rules: Rules) -> list[Column]:
+    return [
+        F.struct(
+            score_of(phrases).alias("score"),
+            F.lit(-i).alias("neg_ord"),
+            F.lit(label).alias("label"),
+        )
+        for i, (label, phrases) in enumerate(rules.items())
+    ]
+
+
 def contains_any(text: Column, phrases: Sequence[str], whole_word: bool = False) -> Column:
     """``text`` must already be lowered and not null."""
-    if whole_word:
-        words = "|".join(re.escape(p) for p in phrases)
-        return F.rlike(text, F.lit(rf"(?U)\b(?:{words})\b"))
-    return F.exists(phrase_list(phrases), lambda p: F.contains(text, p))
+    return let(text, lambda t: (_any_word if whole_word else _any)(t, phrases))
 
 
 def matches(text: Column, phrases: Sequence[str]) -> Column:
     """The phrases that occur, in table order, as ARRAY<STRING>."""
-    return F.filter(phrase_list(phrases), lambda p: F.contains(text, p))
+    return let(text, lambda t: _hits(t, phrases))
 
 
 def match_count(text: Column, phrases: Sequence[str]) -> Column:
@@ -54,54 +92,62 @@ def match_count(text: Column, phrases: Sequence[str]) -> Column:
 
 def first_match(text: Column, phrases: Sequence[str], whole_word: bool = False) -> Column:
     """The first phrase of the table that occurs, else null."""
-    if whole_word:
-        return F.coalesce(
-            *[F.when(contains_any(text, [p], True), F.lit(p)) for p in phrases]
-        )
-    return F.try_element_at(matches(text, phrases), F.lit(1))
+    if not whole_word:
+        return F.try_element_at(matches(text, phrases), F.lit(1))
+    return let(
+        text, lambda t: F.coalesce(*[F.when(_any_word(t, [p]), F.lit(p)) for p in phrases])
+    )
 
 
 def cascade(text: Column, rules: Rules, default: str, whole_word: bool = False) -> Column:
     """The first label, in table order, with any hit."""
-    return F.coalesce(
-        *[
-            F.when(contains_any(text, phrases, whole_word), F.lit(label))
-            for label, phrases in rules.items()
-        ],
-        F.lit(default),
+    return let(text, lambda t: _cascade(t, rules, default, _any_word if whole_word else _any))
+
+
+def best_by_count(text: Column, rules: Rules) -> Column:
+    """struct(score, neg_ord, label) of the label with most hits. Comparing such
+    structs puts the higher score first and, on a tie, the label declared first."""
+    return let(
+        text,
+        lambda t: F.array_max(F.array(*_scored(lambda ph: F.size(_hits(t, ph)), rules))),
     )
 
 
-def scored(score_of, rules: Rules) -> list[Column]:
-    """One struct(score, neg_ord, label) per label. Comparing the structs puts the
-    higher score first and, on a tie, the label declared first."""
-    return [
-        F.struct(
-            score_of(phrases).alias("score"),
-            F.lit(-i).alias("neg_ord"),
-            F.lit(label).alias("label"),
+def ranked(
+    rules: Rules, texts: Sequence[Column], factors: Sequence[int]
+) -> Column:
+    """All labels as structs, best first; the score adds up the hits in two texts,
+    each times its factor."""
+    first, second = texts
+
+    def total(t: Column, u: Column) -> Column:
+        return F.sort_array(
+            F.array(
+                *_scored(
+                    lambda ph: F.size(_hits(t, ph)) * factors[0]
+                    + F.size(_hits(u, ph)) * factors[1],
+                    rules,
+                )
+            ),
+            asc=False,
         )
-        for i, (label, phrases) in enumerate(rules.items())
-    ]
 
-
-def best_by_count(text: Column, rules: Rules) -> Column:
-    return F.array_max(F.array(*scored(lambda ph: match_count(text, ph), rules)))
+    return let(first, lambda t: let(second, lambda u: total(t, u)))
 
 
 def label_by_count(text: Column, rules: Rules, default: str) -> Column:
     """The label with most hits; the first declared wins a tie, none gives ``default``."""
-    best = best_by_count(text, rules)
-    return F.when(best["score"] > 0, best["label"]).otherwise(F.lit(default))
+    return let(
+        best_by_count(text, rules),
+        lambda best: F.when(best["score"] > 0, best["label"]).otherwise(F.lit(default)),
+    )
 
 
 def signals(text: Column, rules: Rules) -> Column:
     """All labels with any hit, in table order, as ARRAY<STRING>."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(contains_any(text, phrases), F.lit(label))
-                for label, phrases in rules.items()
-            ]
-        )
+    return let(
+        text,
+        lambda t: F.array_compact(
+            F.array(*[F.when(_any(t, ph), F.lit(label)) for label, ph in rules.items()])
+        ),
     )

@@ -1,7 +1,7 @@
 """Column functions for ids, flags, timestamps and message text.
 
 Java's ``\\w`` and ``\\s`` are ASCII only, so the patterns spell out the Unicode
-classes. They read the same in Java regex and RE2, which lets the SQL checks
+classes. Most read the same in Java regex and RE2, which lets the SQL checks
 share them.
 """
 
@@ -22,8 +22,10 @@ URL_WWW = f"https?://[^{WS}]+|www\\.[^{WS}]+"
 MENTION = f"@[{WORD}]+"
 HASHTAG = f"#[{WORD}]+"
 ENTITY = f"&[{WORD}]+;"
-RETWEET = f"(?<![{WORD}])rt(?![{WORD}])"
-NOT_PLAIN = r"[^a-z0-9']+"
+RETWEET = f"rt(?<![{WORD}]rt)(?![{WORD}])"  # looks back only where "rt" stands
+# On lowered text: everything but a-z, 0-9 and the apostrophe. Java runs the named
+# ASCII class several times faster than the spelled-out ranges.
+NOT_PLAIN = r"[^\p{Alnum}']+"
 TOKEN = f"[{WORD}]{{2,}}"
 TWEET_TIME = "MMM dd HH:mm:ss Z yyyy"
 

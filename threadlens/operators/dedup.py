@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadlens.functions.rules import computed
+
 
 def concat_parts(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -33,7 +35,7 @@ def dedup_text(
     df: DataFrame, clean: Column, order: Sequence[str], name: str = "clean_text"
 ) -> DataFrame:
     """Drop rows whose cleaned text is empty and keep the first row per cleaned text."""
-    cleaned = df.withColumn(name, clean).where(F.length(name) > 0)
+    cleaned = computed(df, {name: clean}).where(F.length(name) > 0)
     return dedup(cleaned, [name], order)
 
 

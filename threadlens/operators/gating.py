@@ -30,9 +30,23 @@ def gate_demo(
 
     Terms hit inside longer words ("sue" in "issue") unless ``whole_word``."""
     text = F.lower(tx.text_or_empty(message))
+    terms = F.struct(
+        rl.first_match(text, risk, whole_word).alias("risk"),
+        rl.first_match(text, unresolved, whole_word).alias("open"),
+    )
+
+    def decide(found: Column) -> Column:
+        return _demo_decision(
+            found["risk"], found["open"], confidence, similarity, min_confidence, min_similarity
+        )
 
-    risk_term = rl.first_match(text, risk, whole_word)
-    open_term = rl.first_match(text, unresolved, whole_word)
+    return rl.let(terms, decide)
+
+
+def _demo_decision(
+    risk_term: Column, open_term: Column, confidence: Column, similarity: Column,
+    min_confidence: float, min_similarity: float,
+) -> Column:
     reason = (
         F.when(
             risk_term.isNotNull(),
@@ -80,9 +94,22 @@ def gate_final(
 ) -> Column:
     """struct(handling, reason) of the final gate."""
     text = F.lower(tx.text_or_empty(message))
-    unresolved = rl.contains_any(text, lx.FINAL_UNRESOLVED)
+    hits = F.struct(
+        rl.contains_any(text, lx.FINAL_STRONG).alias("strong"),
+        rl.contains_any(text, lx.FINAL_UNRESOLVED).alias("unresolved"),
+    )
+    return rl.let(
+        hits,
+        lambda h: _final_decision(h["strong"], h["unresolved"], intent, similarity, min_similarity),
+    )
+
+
+def _final_decision(
+    strong: Column, unresolved: Column, intent: Column, similarity: Column,
+    min_similarity: float,
+) -> Column:
     checks = [
-        (rl.contains_any(text, lx.FINAL_STRONG), "security"),
+        (strong, "security"),
         ((intent == "account_access") & unresolved, "account"),
         (intent.isin("delivery", "order_status_tracking") & unresolved, "order"),
         (intent.isin("payment_billing", "return_refund_replacement") & unresolved, "money"),

@@ -142,11 +142,7 @@ def label_v1(
 
 def ranked_intents_v2(message: Column, context: Column) -> Column:
     """All intents as structs, best first: score = 2 x message hits + context hits."""
-
-    def score(phrases):
-        return rl.match_count(message, phrases) * 2 + rl.match_count(context, phrases)
-
-    return F.sort_array(F.array(*rl.scored(score, lx.V2_INTENTS)), asc=False)
+    return rl.ranked(lx.V2_INTENTS, [message, context], [2, 1])
 
 
 def _matches_of(label: Column, message: Column, context: Column, top: int = 5) -> Column:

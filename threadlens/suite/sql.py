@@ -37,12 +37,13 @@ def clean_basic(x: str) -> str:
     return squash(sub(sub(x, tx.URL), tx.MENTION))
 
 
+NOT_PLAIN = "[^a-z0-9']+"
 _RT = f"(^|[^{tx.WORD}])rt($|[^{tx.WORD}])"
 
 
 def _plain(x: str) -> str:
     twice = sub(sub(x, _RT, r"\1 \2"), _RT, r"\1 \2")
-    return f"trim({sub(twice, tx.NOT_PLAIN)})"
+    return f"trim({sub(twice, NOT_PLAIN)})"
 
 
 def clean_topic(x: str) -> str:
