@@ -13,9 +13,6 @@ SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 if not os.path.isdir(SF):
     pytest.skip("test tables not found", allow_module_level=True)
 
-# The smallest tables leave these without two classes or enough topics to fit.
-NEEDS_MORE_ROWS = {"ml9_topic_clusters", "ml10_topic_silhouette", "ml13_compare_k"}
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -27,7 +24,7 @@ def test_matches_sql(spark, con, name):
     assert compare.differences(QUERIES[name](spark, SF), con, ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - NEEDS_MORE_ROWS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 

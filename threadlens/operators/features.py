@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from threadlens.functions import lexicons as lx
 from threadlens.functions import text as tx
 from threadlens.operators.sizing import HOT_ROWS, broadcast_bounded, salted_join
+from threadlens.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,11 @@ class TfIdf:
     terms: DataFrame
     settings: TermSettings
 
+    def stored(self) -> TfIdf:
+        """The same with its vocabulary written to the shared folder, so that several
+        ``transform`` calls do not count the corpus again."""
+        return TfIdf(cut_lineage(self.terms), self.settings)
+
     def transform(self, docs: DataFrame, key: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
         counts = term_counts(docs, key, text, self.settings, carry)
         return weights(counts, self.terms, key, self.settings.max_features, carry)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
@@ -20,11 +20,12 @@ from threadlens.operators.features import (
 from threadlens.operators.sizing import broadcast_bounded
 from threadlens.session import cut_lineage
 
+MODEL_TERMS = 1_000_000
 _VECTOR_ROW = T.StructType([T.StructField("v", VectorUDT())])
 
 
 def indexed_terms(terms: DataFrame) -> DataFrame:
-    """Add ``idx`` 0.. in term order. Only for a vocabulary with ``max_features``."""
+    """Add ``idx`` 0.. in term order, for a vocabulary of at most MODEL_TERMS rows."""
     return terms.withColumn("idx", F.row_number().over(W.orderBy("term")) - 1)
 
 
@@ -45,7 +46,7 @@ def to_vectors(
 ) -> DataFrame:
     """``docs`` with a ``features`` vector; a text without known terms gets zeros.
 
-    ``terms`` is (term, idx), at most ``bound`` rows."""
+    ``terms`` is (term, idx), ``bound`` rows at most."""
     small = broadcast_bounded(terms.select("term", "idx"), bound)
     size = terms.agg(F.count("*")).scalar()
     rows = weights.join(small, "term").groupBy(key).agg(
@@ -66,10 +67,11 @@ class IntentModel:
     terms: DataFrame
     classifier: LogisticRegressionModel
     labels: tuple[str, ...]
+    n_terms: int
 
     def features(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         weights = self.tfidf.transform(docs, key, text)
-        return to_vectors(docs, key, weights, self.terms, self.tfidf.settings.max_features)
+        return to_vectors(docs, key, weights, self.terms, self.n_terms)
 
     def score(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """Add ``predicted_intent`` and ``prediction_confidence``."""
@@ -91,12 +93,14 @@ def fit_intent(
 
     Balanced class weights sum to n, and MLlib averages the loss, so the usual
     penalty C corresponds to regParam = 1 / (C n). The training vectors are written
-    once to the shared folder: the optimiser passes over them many times.
-    ``max_features`` caps the vocabulary (100,000 when the settings have none)."""
-    if settings.max_features is None:
-        settings = replace(settings, max_features=100_000)
-    fitted = fit_tfidf(train, key, text, settings)
-    terms = cut_lineage(indexed_terms(fitted.terms))
+    once to the shared folder: the optimiser passes over them many times. Without
+    ``max_features`` every term counts, up to the MODEL_TERMS a model can hold; a
+    larger vocabulary is refused rather than cut."""
+    stored = fit_tfidf(train, key, text, settings).stored()
+    n_terms = stored.terms.count()
+    if n_terms > MODEL_TERMS:
+        raise ValueError(f"{n_terms} terms: set max_features to at most {MODEL_TERMS}")
+    terms = cut_lineage(indexed_terms(stored.terms))
     fitted = TfIdf(terms.select("term", "idf"), settings)
     weights = cut_lineage(class_weights(train, label))
     # One row per class: a label list, small by nature.
@@ -113,7 +117,7 @@ def fit_intent(
     )
     vectors = cut_lineage(
         to_vectors(
-            prepared, key, fitted.transform(prepared, key, text), terms, settings.max_features
+            prepared, key, fitted.transform(prepared, key, text), terms, n_terms
         ).select("features", "label", "weight")
     )
     n = sum(r["count"] for r in rows)
@@ -121,7 +125,7 @@ def fit_intent(
         family="multinomial", weightCol="weight", elasticNetParam=0.0, regParam=1.0 / (c * n),
         standardization=False, maxIter=max_iter, tol=1e-6,
     )
-    return IntentModel(fitted, terms, lr.fit(vectors), labels)
+    return IntentModel(fitted, terms, lr.fit(vectors), labels, n_terms)
 
 
 def majority_baseline(train: DataFrame, validation: DataFrame, label: str) -> DataFrame:

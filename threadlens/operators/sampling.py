@@ -48,32 +48,37 @@ def group_split(df: DataFrame, key: str, fraction: float = 0.15, seed: int = SEE
 def group_split_exact(
     df: DataFrame, key: str, fraction: float = 0.15, seed: int = SEED, bins: int = 4096
 ) -> DataFrame:
-    """Like ``group_split`` but exactly ceil(fraction x groups) groups validate.
+    """Like ``group_split`` but exactly ceil(fraction x groups) groups validate: those
+    with the smallest hashes.
 
-    Groups are ranked by hash. A histogram over ``bins`` hash ranges gives the rank
-    at which each range starts, so only the groups inside one range are ranked
-    together and nothing is sorted globally."""
-    groups = df.select(key).distinct().select(
-        key,
+    Only the hash of the last such group is looked up; the rows themselves compare
+    their own hash with it and are not shuffled. A histogram over ``bins`` hash ranges
+    gives the rank at which each range starts, so nothing is sorted globally."""
+    groups = df.where(F.col(key).isNotNull()).select(key).distinct().select(
         tx.seeded_hash(seed, key).alias("__h"),
         F.floor(_position(key, seed) / F.lit(_UNIT / bins)).cast("int").alias("__bin"),
     )
     sizes = groups.groupBy("__bin").agg(F.count("*").alias("__n"))
     wanted = sizes.agg(F.ceil(F.sum("__n") * F.lit(fraction))).scalar()
     before = W.orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)  # at most `bins` rows
-    starts = sizes.select("__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = W.partitionBy("__bin").orderBy("__h", key)
-    ranked = (
-        groups.join(broadcast_bounded(starts, bins), "__bin")
+    starts = sizes.select(
+        "__bin", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
+    )
+    crossing = starts.where(
+        (F.col("__start") < wanted) & (F.col("__start") + F.col("__n") >= wanted)
+    )
+    inside = W.partitionBy("__bin").orderBy("__h")
+    last = (
+        groups.join(broadcast_bounded(crossing, 1), "__bin")
         .withColumn("__rank", F.col("__start") + F.row_number().over(inside))
-        .select(
-            key,
-            F.when(F.col("__rank") <= wanted, F.lit("validation"))
-            .otherwise(F.lit("train"))
-            .alias("split"),
-        )
+        .where(F.col("__rank") == wanted)
+        .select("__h")
+        .scalar()
+    )
+    validates = tx.seeded_hash(seed, key) <= last
+    return df.withColumn(
+        "split", F.when(validates, F.lit("validation")).otherwise(F.lit("train"))
     )
-    return df.join(ranked, key)
 
 
 # -- picks -------------------------------------------------------------------

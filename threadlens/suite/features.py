@@ -224,7 +224,7 @@ def _given_clusters(spark, sf):
     w = features.tfidf(
         docs.select("doc_id", tx.clean_topic("text").alias("t")), "doc_id", "t", _KM
     )
-    return w, docs.select("doc_id", F.col("lang").alias("cluster"))
+    return cut_lineage(w), docs.select("doc_id", F.col("lang").alias("cluster"))
 
 
 @query(

@@ -231,7 +231,7 @@ FROM (
 )
 def _sp6(spark, sf):
     distinct = cut_lineage(distinct_v2(spark, sf))
-    golden = sampling.golden_sample_v2(distinct)
+    golden = cut_lineage(sampling.golden_sample_v2(distinct).select(*sampling.PAIR_IDS))
     return sampling.backup_pool_v2(distinct, golden).select("backup_id", *sampling.PAIR_IDS)
 
 

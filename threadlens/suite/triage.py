@@ -37,7 +37,7 @@ def _documents_and_queries(spark, sf):
 
 def _retrieved(spark, sf, k):
     cases, asked = _documents_and_queries(spark, sf)
-    fitted = features.fit_tfidf(cases, "case_id", "text", _TERMS)
+    fitted = features.fit_tfidf(cases, "case_id", "text", _TERMS).stored()
     return retrieval.retrieve(
         fitted.transform(asked, "item_id", "text"),
         fitted.transform(cases, "case_id", "text", ["intent"]),
