@@ -189,6 +189,26 @@ def test_frequencies(spark):
     assert wide == {"a": (100.0, 0.0), "b": (50.0, 50.0)}
 
 
+@pytest.mark.parametrize(
+    "values",
+    [
+        [3.0], [1.0, 2.0], [5.0, 1.0, 3.0], [1.0] * 50 + [2.0] * 50, [1.0] * 51 + [2.0] * 49,
+        [float(i * i % 101) for i in range(400)], [7.0] * 300, [1.0, *[2.0] * 98, 9.0],
+        [float(i) for i in range(1001)], [0.0] * 100 + [float(i) for i in range(1, 101)],
+    ],
+)
+def test_exact_median(spark, values):
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "x double").repartition(3)
+    assert frequency.exact_median(df, "x", small=4) == float(np.median(values))
+    assert frequency.exact_median(df, "x") == float(np.median(values))
+
+
+def test_median_of_nothing(spark):
+    df = spark.createDataFrame([(None,)], "x double")
+    assert frequency.exact_median(df, "x") is None
+    assert frequency.confidence_stats(df, "x").first().median is None
+
+
 TRAIN = [
     ("refund please my money", "refund"), ("i want a refund", "refund"), ("money refund now", "refund"),
     ("where is my parcel", "delivery"), ("parcel not here", "delivery"), ("late parcel", "delivery"),

@@ -32,12 +32,20 @@ def _context(speakers: list[str] | None) -> Column:
 
 
 def _pick(parts: Sequence[str], known: Mapping[str, Mapping[str, Column]]) -> dict[str, Column]:
-    unknown = set(parts) - set(known)
-    if unknown:
-        raise ValueError(f"unknown parts {sorted(unknown)}; choose from {list(known)}")
     return {name: c for part in parts for name, c in known[part].items()}
 
 
+def _check(parts: Sequence[str], known: Sequence[str]) -> None:
+    unknown = [p for p in parts if p not in known]
+    if unknown or not parts:
+        raise ValueError(f"unknown parts {unknown}; choose from {list(known)}")
+
+
+def _needed(parts: Sequence[str], **texts: tuple[Column, Sequence[str]]) -> dict[str, Column]:
+    """The staged texts that any of the wanted parts reads."""
+    return {name: c for name, (c, users) in texts.items() if set(users) & set(parts)}
+
+
 # -- analysis rule set -------------------------------------------------------
 
 
@@ -58,13 +66,15 @@ def label_analysis(
     ambiguous: potentially_ambiguous.
 
     With ``speakers`` the prefixes of the rendered context do not count as text."""
+    _check(parts, ("intent", "action", "signals", "ambiguous"))
     staged = rl.computed(
         df,
-        {
-            "__both": analysis_text(speakers),
-            "__resp": F.lower(tx.clean_basic(RESPONSE)),
-            "__msg": F.lower(tx.clean_basic(MESSAGE)),
-        },
+        _needed(
+            parts,
+            __both=(analysis_text(speakers), ("intent", "signals")),
+            __resp=(F.lower(tx.clean_basic(RESPONSE)), ("action",)),
+            __msg=(F.lower(tx.clean_basic(MESSAGE)), ("ambiguous",)),
+        ),
     )
     both, msg = F.col("__both"), F.col("__msg")
     labels = _pick(
@@ -101,17 +111,24 @@ def label_v1(
     intent: candidate_intent; action: candidate_action;
     signals: signals (array) and escalation_signals (joined by a bar);
     ambiguity: ambiguity_score."""
+    _check(parts, ("intent", "action", "signals", "ambiguity"))
+    from_both = ("intent", "signals", "ambiguity")
     staged = rl.computed(
         df,
-        {
-            "__cur": tx.clean_basic(MESSAGE),
-            "__ctx": tx.clean_basic(_context(speakers)),
-            "__resp": F.lower(tx.clean_basic(RESPONSE)),
-        },
+        _needed(
+            parts,
+            __cur=(tx.clean_basic(MESSAGE), from_both),
+            __ctx=(tx.clean_basic(_context(speakers)), from_both),
+            __resp=(F.lower(tx.clean_basic(RESPONSE)), ("action",)),
+        ),
     )
     cur, ctx = F.col("__cur"), F.col("__ctx")
-    both = F.lower(F.concat(cur, F.lit(" "), ctx))
-    staged = rl.computed(staged, {"__both": both, "__words": tx.n_words(cur)})
+    more = _needed(
+        parts,
+        __both=(F.lower(F.concat(cur, F.lit(" "), ctx)), ("intent", "signals")),
+        __words=(tx.n_words(cur), ("ambiguity",)),
+    )
+    staged = rl.computed(staged, more) if more else staged
     both, words = F.col("__both"), F.col("__words")
     deictic = F.arrays_overlap(F.split(F.lower(cur), " "), rl.phrase_list(lx.V1_DEICTIC))
     labels = _pick(
@@ -208,6 +225,7 @@ def label_v2(
     candidate_margin, candidate_matches; action: candidate_action,
     candidate_action_matches; flags: escalation_flags, escalation_candidate;
     ambiguity: ambiguity_reasons, ambiguity_score, ambiguity_candidate."""
+    _check(parts, ("intent", "action", "flags", "ambiguity"))
     cur, ctx = F.col("__cur"), F.col("__ctx")
     out = rl.computed(
         df,

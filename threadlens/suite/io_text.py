@@ -344,16 +344,6 @@ def _fn15(spark, sf):
     return df.select("brand_tweet_id", tx.n_flags("escalation_signals", "|").alias("n_signals"))
 
 
-@query(
-    "fn16_sequential_ids",
-    "SELECT 'NK-' || lpad(CAST(row_number() OVER (ORDER BY n_name) AS VARCHAR), 4, '0') AS seq_id, "
-    "n_name FROM nation",
-)
-def _fn16(spark, sf):
-    n = fx.table(spark, sf, "nation").select("n_name")
-    return goldset.with_seq_id(n, "seq_id", "NK", ["n_name"])
-
-
 # -- projections, filters and predicates --------------------------------------
 
 

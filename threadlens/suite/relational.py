@@ -370,6 +370,21 @@ def _sl1(spark, sf):
     return profile.top_accounts(profile.brand_activity(_account_events(spark, sf), 1))
 
 
+@query(
+    "fn16_sequential_ids",
+    q.with_(_ACTIVITY)
+    + "SELECT 'AC-' || lpad(CAST(row_number() OVER (ORDER BY outbound_tweets DESC, "
+    "total_tweets DESC, brand_author_id) AS VARCHAR), 4, '0') AS account_no, brand_author_id "
+    "FROM activity ORDER BY account_no LIMIT 50",
+)
+def _fn16(spark, sf):
+    top = profile.top_accounts(profile.brand_activity(_account_events(spark, sf), 1))
+    order = [F.desc("outbound_tweets"), F.desc("total_tweets"), "brand_author_id"]
+    return goldset.with_seq_id(top, "account_no", "AC", order).select(
+        "account_no", "brand_author_id"
+    )
+
+
 # -- aggregates ---------------------------------------------------------------
 
 
