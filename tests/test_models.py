@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,29 @@ def test_retrieval_against_brute_force(spark):
     assert 15 not in top
 
 
+def test_top_k_over_many_small_batches(monkeypatch):
+    """The same result however the cases arrive and however often lists are merged."""
+    rng = np.random.default_rng(3)
+    postings = pd.DataFrame(
+        {"q": np.repeat(np.arange(4), 3), "term": [f"t{i}" for i in rng.integers(0, 6, 12)],
+         "weight": rng.random(12)}
+    ).drop_duplicates(["q", "term"])
+    block = retrieval._Block(postings, "q")
+    cases_ = pd.DataFrame(
+        {"c": np.arange(200),
+         "idx": [rng.choice(len(block.terms), rng.integers(1, 4), replace=False) for _ in range(200)]}
+    )
+    cases_["val"] = [rng.choice([0.25, 0.5], len(i)) for i in cases_["idx"]]
+    whole = pd.concat(retrieval._fold_batches(block, "c", ["c"], 7)(iter([cases_])))
+    monkeypatch.setattr(retrieval, "_MERGE_ROWS", 5)
+    monkeypatch.setattr(retrieval, "_CELLS", 12)
+    order = rng.permutation(200)
+    batches = [cases_.iloc[order[i : i + 9]] for i in range(0, 200, 9)]
+    parts = pd.concat(retrieval._fold_batches(block, "c", ["c"], 7)(iter(batches)))
+    key = ["__query", "score", "c"]
+    assert whole[key].values.tolist() == parts[key].values.tolist()
+
+
 def test_prefer_same_intent(spark):
     rows = spark.createDataFrame(
         [("a", 1, .9, "x", "y"), ("a", 2, .5, "y", "y"), ("a", 3, .5, "y", "y"),

@@ -110,6 +110,19 @@ def test_thread_context(spark):
     assert text == "Customer: second\n more\nShop: reply two\nCustomer: first\nShop: reply one"
 
 
+def test_numeric_ids_give_the_same_threads(spark):
+    ids = ["tweet_id", "in_response_to_tweet_id"]
+    t = tweets(spark, CHAIN)
+    numeric = t.withColumns({c: F.col(c).cast("long") for c in ids})
+    a = threads.chain_context(t, "shop").select("brand_tweet_id", "conversation_context")
+    b = threads.chain_context(numeric, "shop").select(
+        F.col("brand_tweet_id").cast("string"), "conversation_context"
+    )
+    assert a.exceptAll(b).count() == 0 and a.count() == b.count()
+    audit = pairing.pair_audit(numeric, "shop", hot_rows=1).first()
+    assert audit == pairing.pair_audit(t, "shop").first()
+
+
 def test_pair_walk_ends_on_a_cycle(spark):
     rows = [
         ("1", "ann", "a", "4"), ("2", "shop", "b", "1"), ("3", "ann", "c", "2"),

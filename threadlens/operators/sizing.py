@@ -28,7 +28,7 @@ def never_null(key: Column | str, row_id: Column | str) -> Column:
     thread openers) in one task. They get a private value that matches nothing."""
     key = F.col(key) if isinstance(key, str) else key
     row_id = F.col(row_id) if isinstance(row_id, str) else row_id
-    return F.coalesce(key, F.concat(F.lit("\x00"), row_id.cast("string")))
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\x00"), row_id.cast("string")))
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -74,14 +74,15 @@ def salted_join(
     else:
         lkey = never_null(left_key, F.concat_ws("\x00", *row_id))
     lhs = left.withColumn("__key", lkey)
-    on = F.col("__key") == F.col(right_key)
+    rkey = F.col(right_key) if how == "inner" else F.col(right_key).cast("string")
+    on = F.col("__key") == rkey
     hot = measured_hot_keys(left.select(left_key), left_key, hot_rows)
     if hot is None:
         return lhs.join(right, on, how).drop("__key")
     hot = broadcast_bounded(hot, MAX_HOT_KEYS)
     salts = F.coalesce("salts", F.lit(1))
     lhs = (
-        lhs.join(hot, F.col("__key") == F.col("hot_key"), "left")
+        lhs.join(hot, F.col(left_key) == F.col("hot_key"), "left")
         .withColumn("__salt", F.pmod(F.xxhash64(*row_id), salts).cast("int"))
         .drop("hot_key", "salts")
     )

@@ -58,7 +58,7 @@ def chain_turns(
         )
         walk = (
             walk.withColumn("__key", never_null(live, "brand_tweet_id"))
-            .join(step, F.col("__key") == F.col(f"id_{h}"), "left")
+            .join(step, F.col("__key") == F.col(f"id_{h}").cast("string"), "left")
             .drop("__key")
         )
         visited.append(F.col(f"id_{h}"))
@@ -155,7 +155,7 @@ def thread_context(pairs: DataFrame, tweets: DataFrame, n: int = 3) -> DataFrame
         )
         walk = (
             walk.withColumn("__key", never_null(live, "brand_tweet_id"))
-            .join(step, F.col("__key") == F.col(f"b_id_{h}"), "left")
+            .join(step, F.col("__key") == F.col(f"b_id_{h}").cast("string"), "left")
             .drop("__key")
         )
         visited.append(F.col(f"b_id_{h}"))
