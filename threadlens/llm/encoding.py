@@ -11,7 +11,9 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 # White space as Unicode defines it; the tokenizers' \s.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = "\\t-\\r " + "".join(
+    map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 # A byte-level pattern never runs from a non-blank into a blank, so each run of blanks
 # goes with the word after it.
 BYTE_LEVEL_SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")

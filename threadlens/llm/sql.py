@@ -32,7 +32,7 @@ WITH d AS (
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
-         [5.0, 2.0, 1.0]::DOUBLE[][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]
+         ([5.0, 2.0, 1.0]::DOUBLE[])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]
            AS weight
   FROM d GROUP BY source),
 r AS (
