@@ -13,6 +13,7 @@ from threadlens.llm import sql
 from threadlens.llm.common import word_count
 from threadlens.llm.line_dedup import dedup_lines
 from threadlens.llm.mixing import mix_sources
+from threadlens.llm.near_dedup import near_duplicates
 from threadlens.llm.token_counts import count_tokens
 
 
@@ -27,6 +28,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sizes = docs.select(
@@ -48,11 +53,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op8_mixing": op8_mixing,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": sql.LINE_DEDUP,
+    "op6_minhash_dedup": sql.NEAR_DUPLICATES,
     "op8_mixing": sql.MIXING,
 }

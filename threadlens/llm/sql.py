@@ -71,3 +71,31 @@ SELECT q.doc_id, q.size, q.source_size, q.target,
        (coalesce(c.copies, 0) * q.size)::BIGINT AS taken
 FROM q LEFT JOIN c ON q.doc_id = c.doc_id
 """
+
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+      ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS s
+    FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (
+  SELECT i.a, i.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+    FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2) i
+  JOIN n na ON na.doc_id = i.a JOIN n nb ON nb.doc_id = i.b
+  WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+reach(node, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.node, e.b FROM reach r
+  JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON r.other = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, r.component_id,
+       d.doc_id = r.component_id AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id
+JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) r ON r.node = d.doc_id
+"""
