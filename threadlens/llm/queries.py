@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from threadlens.llm import sql
 from threadlens.llm.common import word_count
+from threadlens.llm.labelled import id_remainder
 from threadlens.llm.line_dedup import dedup_lines
 from threadlens.llm.mixing import mix_sources
 from threadlens.llm.near_dedup import near_duplicates
+from threadlens.llm.packing import pack_pieces, token_pieces
+from threadlens.llm.quality import fit_quality, quality_score
 from threadlens.llm.token_counts import count_tokens
 
 
@@ -28,6 +31,23 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = id_remainder("doc_id", 5) == 0
+    model = fit_quality(docs, labels.where(~held_out))
+    return _scored(docs, held_out, quality_score(model, "text"))
+
+
+def _scored(docs: DataFrame, held_out, score) -> DataFrame:
+    found = docs.select("doc_id", held_out.alias("held_out"), score.alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_pieces(token_pieces(_table(spark, sf_dir, "documents"), path, capacity=2048))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
@@ -53,6 +73,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_mixing": op8_mixing,
     "op10_token_counts": op10_token_counts,
