@@ -18,6 +18,8 @@ from threadlens.llm.near_dedup import near_duplicates
 from threadlens.llm.packing import pack_pieces, token_pieces
 from threadlens.llm.quality import fit_quality, quality_score
 from threadlens.llm.token_counts import count_tokens
+from threadlens.llm.vector_dedup import near_vectors
+from threadlens.llm.vector_search import search_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search_vectors(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = id_remainder("doc_id", 5) == 0
@@ -65,6 +72,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     found = count_tokens(_table(spark, sf_dir, "documents"), path)
@@ -73,10 +84,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_vector_search": op2_vector_search,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_mixing": op8_mixing,
+    "op9_vector_dedup": op9_vector_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -84,4 +97,5 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": sql.LINE_DEDUP,
     "op6_minhash_dedup": sql.NEAR_DUPLICATES,
     "op8_mixing": sql.MIXING,
+    "op9_vector_dedup": sql.VECTOR_DEDUP,
 }
