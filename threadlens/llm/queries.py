@@ -18,6 +18,7 @@ from threadlens.llm.near_dedup import near_duplicates
 from threadlens.llm.packing import pack_pieces, token_pieces
 from threadlens.llm.quality import fit_quality, quality_score
 from threadlens.llm.token_counts import count_tokens
+from threadlens.llm.toxicity import fit_toxicity, toxicity_score
 from threadlens.llm.vector_dedup import near_vectors
 from threadlens.llm.vector_search import search_vectors
 
@@ -59,6 +60,13 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = id_remainder("doc_id", 4) == 2
+    model = fit_toxicity(docs, labels.where(~held_out))
+    return _scored(docs, held_out, toxicity_score(model, "text"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sizes = docs.select(
@@ -88,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_token_counts": op10_token_counts,
