@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from threadlens.llm import sql
 from threadlens.llm.common import word_count
 from threadlens.llm.labelled import id_remainder
+from threadlens.llm.licenses import scan_licenses
 from threadlens.llm.line_dedup import dedup_lines
 from threadlens.llm.mixing import mix_sources
 from threadlens.llm.near_dedup import near_duplicates
@@ -39,6 +40,16 @@ def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_vectors(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("sentences").cast("long").alias("n_sentences"),
+        F.array_join(F.transform("sentences", lambda s: s["id"]), ",").alias("sentence_ids"),
+        F.array_join("licenses", ",").alias("licenses"),
+        F.array_join("unmatched", ",").alias("unmatched"),
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     held_out = id_remainder("doc_id", 5) == 0
@@ -93,6 +104,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_vector_search": op2_vector_search,
+    "op3_license_scan": op3_license_scan,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_minhash_dedup": op6_minhash_dedup,
@@ -104,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": sql.LINE_DEDUP,
+    "op3_license_scan": sql.license_scan(),
     "op6_minhash_dedup": sql.NEAR_DUPLICATES,
     "op8_mixing": sql.MIXING,
     "op9_vector_dedup": sql.VECTOR_DEDUP,

@@ -1,5 +1,7 @@
 """DuckDB statements for the rows of the queries that SQL can express."""
 
+from threadlens.llm import licenses
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 LINE_DEDUP = f"""
@@ -119,3 +121,39 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id,
        e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
+
+
+def license_scan() -> str:
+    """The rules one after the other, as nested queries."""
+    cases = "\n".join(
+        f"WHEN regexp_full_match(s, '{pattern}') THEN '{name}'" for name, pattern in licenses.SENTENCES
+    )
+    state = "SELECT doc_id, pos, coalesce(ids, '') AS ids, coalesce(run, '') AS run, []::VARCHAR[] AS found FROM runs"
+    for name, ids in licenses.RULES:
+        text = licenses.rule_pattern(ids)
+        state = (
+            f"SELECT doc_id, pos, ids, replace(run, '{text}', ',') AS run, "
+            f"CASE WHEN contains(run, '{text}') THEN list_append(found, '{name}') ELSE found END AS found "
+            f"FROM ({state})"
+        )
+    return f"""
+WITH parts AS (
+  SELECT doc_id, unnest(string_split(
+           regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                          '{licenses.BREAK}', '\\1' || chr(10), 'g'), chr(10))) AS part
+  FROM documents),
+numbered AS (SELECT doc_id, row_number() OVER () AS place, part FROM parts),
+said AS (
+  SELECT doc_id, place, trim(regexp_replace(part, '{licenses.OTHER}', ' ', 'g')) AS s FROM numbered
+  WHERE regexp_matches(part, '{licenses.CUES.replace(" ", "[^a-z0-9]+")}')),
+known AS (SELECT doc_id, place, CASE {cases} END AS id FROM said),
+runs AS (
+  SELECT d.doc_id, count(k.id) AS pos, string_agg(k.id, ',' ORDER BY k.place) AS ids,
+         string_agg(',' || k.id || ',', '' ORDER BY k.place) AS run
+  FROM documents d LEFT JOIN (SELECT * FROM known WHERE id IS NOT NULL) k ON k.doc_id = d.doc_id
+  GROUP BY d.doc_id)
+SELECT doc_id, pos AS n_sentences, ids AS sentence_ids,
+       array_to_string(list_sort(list_distinct(found)), ',') AS licenses,
+       array_to_string(list_filter(string_split(run, ','), lambda x: x <> ''), ',') AS unmatched
+FROM ({state})
+"""
