@@ -42,7 +42,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies (five-word shingles, similarity 0.8)."""
     found = near_duplicates(docs, words=5, percent=80)
     copies = found.where(~F.col("kept")).select(F.col("doc_id").alias("copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("copy"), "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(copies, F.col("doc_id") == F.col("copy"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,16 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed_row(columns: Sequence[str]) -> Column:
+    """All of a caller's columns as one struct ``row``, so that none of their names can
+    clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+
+
+def unpacked(columns: Sequence[str]) -> list[Column]:
+    return [F.col(f"row.`{c}`").alias(c) for c in columns]
+
+
 def running_total(
     df: DataFrame, order: Sequence[str], value: str, out: str, by: Sequence[str] = ()
 ) -> DataFrame:

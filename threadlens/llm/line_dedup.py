@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import BLANKS, ascii_lower
+from threadlens.llm.common import BLANKS, ascii_lower, packed_row, unpacked
 from threadlens.session import cut_lineage, run_dir
 
 RUN = "key binary, docs long, last long"
@@ -138,19 +138,22 @@ def dedup_lines(
         .agg(F.collect_set("pos").alias("__drops"))
         .select(F.col("doc_id").alias("__id"), F.col("ident").alias("__ident"), "__drops")
     )
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (
-        F.md5(F.coalesce(F.col(text), F.lit(""))) == F.col("__ident")
-    )
+    whole = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select(packed_row(kept_columns), F.col(doc_id).alias("__doc"), whole.alias("__text"))
+    same = F.col("__doc").eqNullSafe(F.col("__id")) & (F.md5("__text") == F.col("__ident"))
     none = F.array().cast("array<int>")
     return (
-        docs.select(*kept_columns)
-        .join(dropped, same, "left")
-        .withColumn("__lines", text_lines(F.col(text)))
-        .withColumn("n_lines", F.size("__lines").cast("long"))
+        found.join(dropped, same, "left")
+        .withColumn("__lines", text_lines(F.col("__text")))
         .withColumn("__drops", F.coalesce("__drops", none))
-        .withColumn("n_dropped", F.size("__drops").cast("long"))
-        .withColumn(out, _kept_text())
-        .select(*kept_columns, out, "n_lines", "n_dropped")
+        .select(
+            "row", _kept_text().alias("__kept"), F.size("__lines").cast("long").alias("__all"),
+            F.size("__drops").cast("long").alias("__gone"),
+        )
+        .select(
+            *unpacked(kept_columns), F.col("__kept").alias(out), F.col("__all").alias("n_lines"),
+            F.col("__gone").alias("n_dropped"),
+        )
     )
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import running_total
+from threadlens.llm.common import packed_row, running_total, unpacked
 from threadlens.session import cut_lineage
 
 
@@ -102,13 +102,18 @@ def mix_sources(
 def mix_documents(docs: DataFrame, size: str, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with the same columns.
     ``size`` names a column of ``docs``; ``source`` and ``doc_id`` must be there too."""
-    rows = cut_lineage(docs.withColumn("__mixrow", F.monotonically_increasing_id()))
-    sizes = rows.select(F.col("__mixrow").alias("row"), "doc_id", "source", F.col(size).alias("size"))
+    rows = cut_lineage(
+        docs.select(
+            packed_row(docs.columns), "doc_id", "source", F.col(size).alias("size"),
+            F.monotonically_increasing_id().alias("number"),
+        )
+    )
+    sizes = rows.select(F.col("number").alias("row"), "doc_id", "source", "size")
     copies = mix_sources(sizes, **options).where(F.col("copies") > 0).select(
-        F.col("row").alias("__row"), F.sequence(F.lit(1), F.col("copies")).alias("__copies")
+        F.col("row").alias("taken"), F.sequence(F.lit(1), F.col("copies")).alias("turns")
     )
     return (
-        rows.join(copies, F.col("__mixrow") == F.col("__row"))
-        .withColumn("__copy", F.explode("__copies"))
-        .select(*docs.columns)
+        rows.join(copies, F.col("number") == F.col("taken"))
+        .select("row", F.explode("turns").alias("turn"))
+        .select(*unpacked(docs.columns))
     )

@@ -29,6 +29,7 @@ from threadlens.session import cut_lineage
 
 TRAINING_ROWS, MAX_LISTS, SUBSPACES, CODEWORDS = 20_000, 1_024, 8, 64
 BLOCK = 1_024
+PIECE = "cls long, rep long, links long, root long"
 _SLACK = 1e-6  # for rounding: only makes candidates of more pairs
 
 
@@ -98,7 +99,7 @@ def _compare(book: Codebook, cosine: float, radius: float):
         asks = frame["asks"].to_numpy(bool)
         q, s = frame[asks], frame[~asks]
         if q.empty or s.empty:
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
+            return pd.DataFrame(columns=["cls", "rep", "links", "root"]).astype("int64")
         a, b = (stacked(f["vec"].to_list(), book.width) for f in (q, s))
         na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
         center = book.centers[int(frame["list"].iat[0])]
@@ -106,7 +107,8 @@ def _compare(book: Codebook, cosine: float, radius: float):
         near = book.distances(a / na[:, None] - center, codes) - err <= radius + _SLACK
         exact = (a @ b.T) / (na[:, None] * nb[None, :])
         ids_q, ids_s = q["rep"].to_numpy(), s["rep"].to_numpy()
-        linked = near & (exact >= cosine) & (ids_q[:, None] != ids_s[None, :])
+        others = q["cls"].to_numpy()[:, None] != s["cls"].to_numpy()[None, :]
+        linked = near & (exact >= cosine) & others
         links = linked @ s["n"].to_numpy(np.int64)
         root_q, root_s = ids_q.copy(), ids_s.copy()
         rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
@@ -119,6 +121,7 @@ def _compare(book: Codebook, cosine: float, radius: float):
             root_q[rows], root_s[cols] = rq, rs
         out = pd.DataFrame(
             {
+                "cls": np.concatenate([q["cls"], s["cls"]]),
                 "rep": np.concatenate([ids_q, ids_s]),
                 "links": np.concatenate([links, np.zeros(len(s), np.int64)]),
                 "root": np.concatenate([root_q, root_s]),
@@ -160,18 +163,17 @@ def near_vectors(
     counted = cut_lineage(
         real.groupBy("c1", "c2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     )
-    one = (
-        counted.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "rep", "n")
-    )
+    first = counted.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), "rep", "n")
     same = (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))
     classes = cut_lineage(
-        real.join(one, same & (F.col("vec_id") == F.col("rep")))
-        .select("c1", "c2", "rep", "n", "label", "vec").dropDuplicates(["c1", "c2"])
-        .drop("c1", "c2")
+        real.join(first, same & (F.col("vec_id") == F.col("rep")))
+        .select("d1", "d2", "rep", "n", "label", "vec").dropDuplicates(["d1", "d2"])
+        .withColumn("cls", F.monotonically_increasing_id())
     )
+    one = classes.select("d1", "d2", "cls", "rep", "n")
     total, width = classes.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not total:
-        found = rows.sparkSession.createDataFrame([], "rep long, links long, root long")
+        found = rows.sparkSession.createDataFrame([], PIECE)
     else:
         chosen = sample(classes, "rep", training_rows, total).orderBy("rep").select("vec").collect()
         if not chosen:  # a few rows may all miss a thin sample
@@ -179,22 +181,18 @@ def near_vectors(
         book = fit_codebook(stacked([r["vec"] for r in chosen], width), total, lists)
         found = _linked(classes, book, cosine, radius, block)
     found = cut_lineage(found)
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    # One id may stand for several classes: rows that repeat it.
-    repeated = real.join(one, same).where(F.col("vec_id") != F.col("rep")).groupBy("vec_id").agg(
-        F.min("rep").alias("a"), F.max("rep").alias("z"), F.count("*").alias("times")
-    ).where("times > 1 OR a <> z")
-    links = found.where(F.col("rep") != F.col("root")).select(
-        F.col("rep").alias("a"), F.col("root").alias("b")
-    )
-    links = links.unionByName(
-        repeated.select(F.explode(F.array("a", "z")).alias("a"), F.col("vec_id").alias("b"))
+    sums = found.groupBy(F.col("cls").alias("c")).agg(F.sum("links").alias("links"))
+    # Rows of one id with different vectors share a component.
+    several = real.groupBy("vec_id").agg(F.min("c1").alias("low"), F.max("c1").alias("high"))
+    several = several.where("low <> high").select(F.col("vec_id").alias("again"))
+    repeated = real.join(several, F.col("vec_id") == F.col("again"), "left_semi").join(one, same)
+    links = found.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(
+        repeated.select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
     )
     group = components(links)
-    sums = sums.withColumnRenamed("rep", "r")
     group = group.withColumnRenamed("node", "g")
     known = cut_lineage(
-        one.join(sums, F.col("rep") == F.col("r"), "left")
+        one.join(sums, F.col("cls") == F.col("c"), "left")
         .join(group, F.col("rep") == F.col("g"), "left")
         .select(
             "d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
@@ -210,12 +208,12 @@ def near_vectors(
 
 
 def _linked(classes: DataFrame, book: Codebook, cosine: float, radius: float, block: int):
-    """(rep, links, root) pieces from the comparisons of blocks."""
+    """(cls, rep, links, root) pieces from the comparisons of blocks."""
     label = classes.schema["label"].dataType.simpleString()
     dealt = cut_lineage(
-        classes.mapInPandas(
+        classes.select("cls", "rep", "n", "label", "vec").mapInPandas(
             _deal(book, radius),
-            f"rep long, n long, label {label}, vec array<double>, list int, asks boolean",
+            f"cls long, rep long, n long, label {label}, vec array<double>, list int, asks boolean",
         )
     )
     sizes = cut_lineage(
@@ -228,7 +226,7 @@ def _linked(classes: DataFrame, book: Codebook, cosine: float, radius: float, bl
         .select(F.col("label").alias("l"), F.col("list").alias("i"), "qb", "sb")
     )
     both = (F.col("label") == F.col("l")) & (F.col("list") == F.col("i"))
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("qb")).otherwise(F.col("sb")))
+    own = F.pmod(F.xxhash64("cls"), F.when(F.col("asks"), F.col("qb")).otherwise(F.col("sb")))
     others = F.when(F.col("asks"), F.col("sb")).otherwise(F.col("qb"))
     cells = (
         dealt.join(sizes, both)
@@ -236,8 +234,8 @@ def _linked(classes: DataFrame, book: Codebook, cosine: float, radius: float, bl
         .withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
         .withColumn("q", F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")))
         .withColumn("s", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")))
-        .select("rep", "n", "label", "vec", "list", "asks", "q", "s")
+        .select("cls", "rep", "n", "label", "vec", "list", "asks", "q", "s")
     )
     return cells.groupBy("label", "list", "q", "s").applyInPandas(
-        _compare(book, cosine, radius), "rep long, links long, root long"
+        _compare(book, cosine, radius), PIECE
     )
