@@ -1,4 +1,6 @@
 import json
+from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +75,30 @@ def test_stream_equals_batch_and_drops_repeats(spark, tmp_path):
     assert len(got) == 30 and set(got) == want
     triage_stream(stream, *args, available_now=True).awaitTermination()  # nothing new
     assert read_sink(spark, sink).count() == 30
+
+
+def test_late_messages_are_kept_and_scratch_is_deleted(spark, tmp_path):
+    """Three batches: the second arrives two days late, the third repeats both."""
+    from threadlens.session import cut_lineage, shared_dir
+
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "message_id string, message string, created_at timestamp"
+    stream = spark.readStream.schema(schema).parquet(source)
+    used = []
+
+    def work(batch):
+        used.append(cut_lineage(batch.select("message_id", "created_at")))
+        return used[-1]
+
+    def left_over():
+        base = Path(shared_dir(spark).removeprefix("file://")) / "threadlens"
+        return {p.name for p in base.glob("scratch-*")}
+
+    before = left_over()
+    for ids, at in ((range(5), 1_000_000), (range(5, 9), 1_000_000 - 2 * 86_400), (range(9), 2_000_000)):
+        rows = [(str(i), "hi", datetime.fromtimestamp(at + i)) for i in ids]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        triage_stream(stream, work, sink, str(tmp_path / "check"), available_now=True).awaitTermination()
+    got = [r.message_id for r in read_sink(spark, sink).collect()]
+    assert sorted(got) == [str(i) for i in range(9)]
+    assert len(used) == 3 and left_over() == before

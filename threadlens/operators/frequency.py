@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SMALL_MEDIAN = 100_000
+BINS = 4_096
 
 
 def frequency(df: DataFrame, col: str) -> DataFrame:
@@ -61,42 +61,38 @@ def flag_share(df: DataFrame, flag: str) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, col: str, small: int = SMALL_MEDIAN) -> float | None:
-    """The median, midpoint of the two middle values for an even count.
-
-    The built-in exact median keeps every distinct value in one task. Here each pass
-    narrows the range that must hold the middle, with approximate quantiles whose
-    ranks are then counted exactly, to a few ten-thousandths of its rows. At most
-    ``small`` remaining values are sorted on the driver."""
-    values = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
+def exact_median(df: DataFrame, col: str, bins: int = BINS) -> float | None:
+    """The median, midpoint of the two middle values for an even count; null and NaN do
+    not count. The built-in exact median keeps every distinct value in one task; here
+    only counts of ``bins`` bins reach the driver, pass after pass."""
+    v = F.col(col).cast("double")
+    values = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     n = values.count()
     if n == 0:
         return None
-    low, high = (n - 1) // 2, n // 2  # ranks of the middle values, from 0
+    low, high = _value_at(values, (n - 1) // 2, bins), _value_at(values, n // 2, bins)
+    return low if low == high else (low + high) / 2
+
+
+def _value_at(values: DataFrame, rank: int, bins: int) -> float:
+    """The value of a rank from 0. Equal bins between the smallest and the largest value
+    are counted, and the bin that holds the rank is cut again until it is one value."""
     v = F.col("v")
-    part, below, size, margin = values, 0, n, 2e-4
-    while size > small:
-        shares = [max(0.0, (low - below) / size - margin), min(1.0, (high - below) / size + margin)]
-        lo, hi = part.agg(F.percentile_approx("v", shares, 20_000)).first()[0]
-        under_lo, upto_lo, under_hi, upto_hi, after_lo, before_hi = values.agg(
-            F.count_if(v < lo), F.count_if(v <= lo), F.count_if(v < hi), F.count_if(v <= hi),
-            F.min(F.when(v > lo, v)), F.max(F.when(v < hi, v)),
-        ).first()
-        if under_lo > low or upto_hi <= high:
-            margin *= 4  # the quantiles missed the middle: look wider
-        elif high < upto_lo:
-            return lo
-        elif low >= under_hi:
-            return hi
-        elif low < upto_lo:  # the last lo and the next value
-            return (lo + after_lo) / 2
-        elif high >= under_hi:  # the value before hi and the first hi
-            return (before_hi + hi) / 2
-        else:
-            part = values.where((v > lo) & (v < hi))
-            below, size = upto_lo, under_hi - upto_lo
-    rest = sorted(r["v"] for r in part.collect())
-    return (rest[low - below] + rest[high - below]) / 2
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    while low < high:
+        width = high / bins - low / bins
+        # Too narrow for bins: fewer different doubles than bins are left.
+        place = F.least(F.floor((v - low) / width), F.lit(bins - 1)) if low + width > low else v
+        counted = values.where(v.between(low, high)).groupBy(place.alias("bin")).agg(
+            F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+        )
+        before = values.where(v < low).count()
+        for r in sorted(counted.collect(), key=lambda r: r["low"]):
+            if before + r["n"] > rank:
+                low, high = r["low"], r["high"]
+                break
+            before += r["n"]
+    return low
 
 
 def confidence_stats(df: DataFrame, col: str) -> DataFrame:

@@ -20,13 +20,24 @@ from threadlens.operators.features import (
 from threadlens.operators.sizing import broadcast_bounded
 from threadlens.session import cut_lineage
 
-MODEL_TERMS = 1_000_000
 _VECTOR_ROW = T.StructType([T.StructField("v", VectorUDT())])
 
 
 def indexed_terms(terms: DataFrame) -> DataFrame:
-    """Add ``idx`` 0.. in term order, for a vocabulary of at most MODEL_TERMS rows."""
-    return terms.withColumn("idx", F.row_number().over(W.orderBy("term")) - 1)
+    """Add ``idx`` 0.. in term order. Range partitions number their own terms and start
+    after the partitions before them; only one count per partition meets in one task."""
+    ranged = cut_lineage(
+        terms.repartitionByRange("term").withColumn("__part", F.spark_partition_id())
+    )
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__at"))
+    place = F.row_number().over(W.partitionBy("__part").orderBy("term")) - 1
+    return (
+        ranged.withColumn("__place", place).join(before, "__part")
+        .withColumn("idx", (F.col("__at") + F.col("__place")).cast("int"))
+        .drop("__part", "__place", "__at")
+    )
 
 
 def sparse_vector(size: Column, indices: Column, values: Column) -> Column:
@@ -94,12 +105,10 @@ def fit_intent(
     Balanced class weights sum to n, and MLlib averages the loss, so the usual
     penalty C corresponds to regParam = 1 / (C n). The training vectors are written
     once to the shared folder: the optimiser passes over them many times. Without
-    ``max_features`` every term counts, up to the MODEL_TERMS a model can hold; a
-    larger vocabulary is refused rather than cut."""
+    ``max_features`` every term counts, and the model holds a weight per term and
+    class: set it where that outgrows the driver."""
     stored = fit_tfidf(train, key, text, settings).stored()
     n_terms = stored.terms.count()
-    if n_terms > MODEL_TERMS:
-        raise ValueError(f"{n_terms} terms: set max_features to at most {MODEL_TERMS}")
     terms = cut_lineage(indexed_terms(stored.terms))
     fitted = TfIdf(terms.select("term", "idf"), settings)
     weights = cut_lineage(class_weights(train, label))

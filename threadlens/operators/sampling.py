@@ -22,6 +22,7 @@ from threadlens.operators.goldset import with_seq_id
 from threadlens.operators.labelling import sampling_reason
 from threadlens.operators.sizing import broadcast_bounded
 
+SALTS = 64
 SEED = 42
 PAIR_IDS = ["customer_tweet_id", "brand_tweet_id"]
 _UNIT = float(16**8)
@@ -149,12 +150,18 @@ def _ranked_buckets(df: DataFrame, buckets: Column, limits: Mapping[str, int]) -
     narrow = df.select(*PAIR_IDS, F.explode(F.array_compact(buckets)).alias("b")).select(
         *PAIR_IDS, "b.*"
     )
-    w = W.partitionBy("slice", "bucket").orderBy("k1", "k2", "k3", *PAIR_IDS)
+    # A bucket may hold all rows. Its salted parts are limited first, so that the final
+    # ranking sees at most SALTS x limit rows of it, whatever the limit.
+    salt = F.pmod(F.xxhash64(*PAIR_IDS), F.lit(SALTS))
+    order = ["k1", "k2", "k3", *PAIR_IDS]
+    parts = W.partitionBy("slice", "bucket", "salt").orderBy(*order)
+    w = W.partitionBy("slice", "bucket").orderBy(*order)
     most = max(limits.values())
     limit_of = F.coalesce(*[F.when(F.col("slice") == s, F.lit(n)) for s, n in limits.items()])
     return (
-        narrow.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= most)  # literal limit: applied before the shuffle
+        narrow.withColumn("salt", salt)
+        .withColumn("place", F.row_number().over(parts)).where(F.col("place") <= most)
+        .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
         .where(F.col("rank") <= limit_of)
         .select(*PAIR_IDS, "slice", "bucket", "rank")
     )

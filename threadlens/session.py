@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -28,21 +32,42 @@ def build_session(app: str = "threadlens", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only where
-    none is set (tests on one machine) is a temporary folder made."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. A session on one
+    machine (tests) gets a temporary folder; a cluster must name one that all see."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="threadlens-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_open = threading.local()  # the scratch folders of the running thread
+
+
 def run_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/threadlens/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below the thread's scratch folder."""
+    base = getattr(_open, "folders", None) or [f"{shared_dir(spark)}/threadlens"]
+    return f"{base[-1]}/{purpose}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that ``cut_lineage`` writes inside the block are deleted at its end.
+
+    Nothing that is read later may depend on them: write the result within the block."""
+    path = run_dir(spark, "scratch")
+    _open.folders = [*getattr(_open, "folders", []), path]
+    try:
+        yield path
+    finally:
+        _open.folders = _open.folders[:-1]
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def cut_lineage(df):

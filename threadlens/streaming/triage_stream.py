@@ -4,38 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from threadlens.session import cut_lineage
+from threadlens.session import cut_lineage, scratch
 
 Triage = Callable[[DataFrame], DataFrame]
 
 
 def triage_stream(
     messages: DataFrame, triage: Triage, sink: str, checkpoint: str,
-    event_time: str = "created_at", watermark: str = "1 day", available_now: bool = False,
+    available_now: bool = False,
 ) -> StreamingQuery:
     """Run the batch triage on every micro-batch of ``messages`` (a stream with
-    message_id, message, context and an event time).
+    message_id, message and context).
 
-    Repeated ids within the watermark are dropped, so state holds one watermark's
-    worth of ids. A batch is written under its own number with overwrite: a batch
-    replayed after a failure replaces its earlier files instead of adding rows."""
-    unique = messages.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(
-        ["message_id"]
-    )
+    A message is triaged once, however late it or its repetition arrives: ids that other
+    batches have written already are left out. A batch is written under its own number
+    with overwrite, so a batch replayed after a failure replaces its earlier files. What
+    a batch stores for itself is deleted once it is written."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # the triage reads its input several times; the state store is read once
-        triage(cut_lineage(batch)).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    writer = unique.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        spark = batch.sparkSession
+        with scratch(spark):
+            fresh = batch.dropDuplicates(["message_id"])
+            done = _written(spark, sink, batch_id)
+            if done is not None:
+                fresh = fresh.join(done, fresh["message_id"] == done["done_id"], "left_anti")
+            # the triage reads its input several times; the source is read once
+            triage(cut_lineage(fresh)).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    writer = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
 
 
+def _written(spark: SparkSession, sink: str, batch_id: int) -> DataFrame | None:
+    """Ids in the sink from other batches; None before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    others = [n for n in names if n.startswith("batch=") and n != f"batch={batch_id}"]
+    if not others:
+        return None
+    rows = spark.read.parquet(*(f"{sink}/{n}" for n in others))
+    return rows.select(F.col("message_id").alias("done_id"))
+
+
 def read_sink(spark, sink: str) -> DataFrame:
     """All results written so far."""
     return spark.read.option("basePath", sink).parquet(f"{sink}/batch=*").drop("batch")

@@ -253,9 +253,7 @@ SELECT cluster, doc_id, distance, rank::INTEGER AS rank FROM (
 )
 def _ml12(spark, sf):
     w, assigned = _given_clusters(spark, sf)
-    return topics.cluster_examples(
-        w, assigned, "doc_id", center_rows=12 * _KM.max_features
-    )
+    return topics.cluster_examples(w, assigned, "doc_id")
 
 
 @query("ml13_compare_k")

@@ -64,9 +64,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, spread over the cores: the small test files are one row group
     each, which a scan cannot split."""
-    d = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return d if d.rdd.getNumPartitions() >= 4 * cores else d.repartition(cores)
+    return table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism)
 
 
 def phrase(phrases: list[str], position: Column) -> Column:

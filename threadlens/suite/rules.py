@@ -131,9 +131,10 @@ def _rl11(spark, sf):
 @query(
     "rl12_ranked_intents_v2",
     _V2
-    + "SELECT brand_tweet_id, u.l AS label, u.s::INTEGER AS score FROM "
-    f"(SELECT brand_tweet_id, unnest(list_zip({q.lits(list(lx.V2_INTENTS))}, s)) AS z FROM v2), "
-    "LATERAL (SELECT z[1] AS l, z[2] AS s) u WHERE u.s > 0",
+    + "SELECT brand_tweet_id, z[1] AS label, z[2]::INTEGER AS score, (row_number() OVER "
+    "(PARTITION BY brand_tweet_id ORDER BY z[2] DESC, z[3]))::INTEGER AS rank FROM "
+    f"(SELECT brand_tweet_id, unnest(list_zip({q.lits(list(lx.V2_INTENTS))}, s, "
+    f"range({len(lx.V2_INTENTS)}))) AS z FROM v2)",
 )
 def _rl12(spark, sf):
     staged = rl.computed(
@@ -144,8 +145,10 @@ def _rl12(spark, sf):
         },
     )
     ranked = labelling.ranked_intents_v2(F.col("cur"), F.col("ctx"))
-    each = staged.select("brand_tweet_id", F.explode(ranked).alias("r"))
-    return each.where(F.col("r.score") > 0).select("brand_tweet_id", "r.label", "r.score")
+    each = staged.select("brand_tweet_id", F.posexplode(ranked).alias("at", "r"))
+    return each.select(
+        "brand_tweet_id", "r.label", "r.score", (F.col("at") + 1).alias("rank")
+    )
 
 
 @query("rl13_intent_v2", _V2 + "SELECT brand_tweet_id, candidate_intent FROM v2")

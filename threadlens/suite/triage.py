@@ -39,9 +39,9 @@ def _retrieved(spark, sf, k):
     cases, asked = _documents_and_queries(spark, sf)
     fitted = features.fit_tfidf(cases, "case_id", "text", _TERMS).stored()
     return retrieval.retrieve(
-        fitted.transform(asked, "item_id", "text"),
-        fitted.transform(cases, "case_id", "text", ["intent"]),
-        k, "item_id", "case_id", ["intent"],
+        cut_lineage(fitted.transform(asked, "item_id", "text")),
+        cut_lineage(fitted.transform(cases, "case_id", "text")),
+        k, "item_id", "case_id", ["intent"], queries=asked, cases=cases,
     )
 
 
@@ -55,9 +55,11 @@ _FOUND = q.with_(
     weights_sql("g", "b_tf", "item_id", "b_w"),
     "scored AS (SELECT b.item_id, g.case_id, round(sum(b.weight * g.weight), 6) AS score "
     "FROM b_w b JOIN g_w g USING (term) GROUP BY ALL)",
-    "found AS (SELECT item_id, case_id, intent, score, rank FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY item_id ORDER BY score DESC, case_id) AS rank FROM scored) "
-    "JOIN cases USING (case_id))",
+    "found AS (SELECT item_id, case_id, intent, score, row_number() OVER "
+    "(PARTITION BY item_id ORDER BY score DESC, case_id) AS rank FROM ("
+    "SELECT b.item_id, c.case_id, c.intent, coalesce(s.score, 0e0) AS score "
+    "FROM (SELECT DISTINCT item_id FROM benchmark) b CROSS JOIN cases c "
+    "LEFT JOIN scored s ON s.item_id = b.item_id AND s.case_id = c.case_id))",
 )
 
 
@@ -241,11 +243,20 @@ def _rp2(spark, sf):
 # -- triage -------------------------------------------------------------------
 
 
-def _messages(df):
-    """Customer messages with an empty context, as they would arrive."""
-    return df.where(F.col("inbound") & (F.col("author_id") != "system")).select(
+def _contexts(spark, sf):
+    """(context_id, context): the turns before a customer message, where it has a reply."""
+    wide = threads.thread_wide(threads.thread_context(fx.pairs(spark, sf), fx.tweets(spark, sf)))
+    return wide.groupBy(F.col("customer_tweet_id").alias("context_id")).agg(
+        F.min(threads.previous_turns_text(brand_label=fx.BRAND)).alias("context")
+    )
+
+
+def _messages(df, contexts):
+    """Inbound messages with the turns before them, as they would arrive."""
+    rows = df.where(F.col("inbound"))
+    return rows.join(contexts, F.col("tweet_id") == F.col("context_id"), "left").select(
         F.col("tweet_id").alias("message_id"), F.col("text").alias("message"),
-        F.lit("").alias("context"), "created_at",
+        F.coalesce("context", F.lit("")).alias("context"), "created_at",
     )
 
 
@@ -266,13 +277,17 @@ def final_model(spark, sf):
 
 @query("tr1_triage_demo")
 def _tr1(spark, sf):
-    out = triage.triage_demo(_messages(fx.tweets(spark, sf)), demo_model(spark, sf))
+    out = triage.triage_demo(
+        _messages(fx.tweets(spark, sf), _contexts(spark, sf)), demo_model(spark, sf)
+    )
     return out.withColumn("evidence", F.to_json("evidence"))
 
 
 @query("tr2_triage_final")
 def _tr2(spark, sf):
-    return triage.triage_final(_messages(fx.tweets(spark, sf)), final_model(spark, sf))
+    return triage.triage_final(
+        _messages(fx.tweets(spark, sf), _contexts(spark, sf)), final_model(spark, sf)
+    )
 
 
 @query("tr3_triage_stream")
@@ -283,7 +298,7 @@ def _tr3(spark, sf):
     stream = spark.readStream.schema(schema).parquet(sf, pathGlobFilter="conversations.parquet")
     sink = run_dir(spark, "triage")
     job = triage_stream(
-        _messages(fx.conversation_tweets(stream)),
+        _messages(fx.conversation_tweets(stream), cut_lineage(_contexts(spark, sf))),
         lambda batch: triage.triage_final(batch, model),
         sink, run_dir(spark, "triage-checkpoint"), available_now=True,
     )
@@ -293,9 +308,12 @@ def _tr3(spark, sf):
 
 def _golden(spark, sf):
     """Validation pairs as a golden set: silver intents and rule-made labels."""
-    rows = silver_split(spark, sf).where("split = 'validation'").select(
+    rows = silver_split(spark, sf).where("split = 'validation'").join(
+        _contexts(spark, sf), F.col("customer_tweet_id") == F.col("context_id"), "left"
+    ).select(
         F.col("brand_tweet_id").alias("message_id"), F.col("customer_text").alias("message"),
-        F.lit("").alias("context"), F.col("silver_intent").alias("gold_intent"),
+        F.coalesce("context", F.lit("")).alias("context"),
+        F.col("silver_intent").alias("gold_intent"),
         gating.choose_action("brand_response").alias("gold_action"),
         F.lit("YES").alias("gold_evidence_sufficient"),
     )
