@@ -209,7 +209,7 @@ def _wn2(spark, sf):
     return history.customer_history(p, brand_label=fx.BRAND, hot_rows=20)
 
 
-_SPLIT = (
+SPLIT_SQL = (
     f"silver AS (SELECT *, {q.SILVER} AS silver_intent FROM pairs), "
     "split AS (SELECT *, CASE WHEN CAST('0x' || substr("
     + q.seeded(42, "customer_author_id")
@@ -226,7 +226,7 @@ def silver_split(spark, sf):
 
 @query(
     "jn8_attach_context",
-    q.with_(q.TWEETS, q.PAIRS, _SPLIT, _history_sql(fx.BRAND))
+    q.with_(q.TWEETS, q.PAIRS, SPLIT_SQL, _history_sql(fx.BRAND))
     + "SELECT brand_tweet_id, s.customer_tweet_id, split, "
     "coalesce(context_text, customer_text) AS context_text "
     "FROM split s LEFT JOIN history h ON s.customer_tweet_id = h.customer_tweet_id",
@@ -240,7 +240,7 @@ def _jn8(spark, sf):
 
 @query(
     "jn9_retrieval_corpus",
-    q.with_(q.TWEETS, q.PAIRS, _SPLIT)
+    q.with_(q.TWEETS, q.PAIRS, SPLIT_SQL)
     + "SELECT brand_tweet_id, customer_tweet_id FROM pairs WHERE customer_tweet_id IN "
     "(SELECT customer_tweet_id FROM split WHERE split = 'train')",
 )
@@ -253,7 +253,7 @@ def _jn9(spark, sf):
 
 @query(
     "jn10_case_intents",
-    q.with_(q.TWEETS, q.PAIRS, _SPLIT)
+    q.with_(q.TWEETS, q.PAIRS, SPLIT_SQL)
     + "SELECT p.brand_tweet_id, t.intent FROM pairs p LEFT JOIN (SELECT customer_tweet_id, "
     "arg_max(silver_intent, brand_tweet_id) AS intent FROM split WHERE split = 'train' "
     "GROUP BY customer_tweet_id) t USING (customer_tweet_id)",
@@ -501,7 +501,7 @@ def _ag10(spark, sf):
 
 @query(
     "ag11_context_coverage",
-    q.with_(q.TWEETS, q.PAIRS, _SPLIT, _history_sql(fx.BRAND))
+    q.with_(q.TWEETS, q.PAIRS, SPLIT_SQL, _history_sql(fx.BRAND))
     + "SELECT split, count(*) FILTER (coalesce(context_text, customer_text) <> customer_text) "
     "AS with_context, count(*) AS total "
     "FROM split s LEFT JOIN history h ON s.customer_tweet_id = h.customer_tweet_id GROUP BY split",

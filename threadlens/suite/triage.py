@@ -14,7 +14,7 @@ from threadlens.suite import fixtures as fx
 from threadlens.suite import sql as q
 from threadlens.suite.base import query
 from threadlens.suite.features import grams_sql, tfidf_sql, weights_sql
-from threadlens.suite.relational import THREADS_SQL, WIDE_SQL, silver_split
+from threadlens.suite.relational import SPLIT_SQL, THREADS_SQL, WIDE_SQL, silver_split
 
 # -- retrieval ----------------------------------------------------------------
 
@@ -260,19 +260,20 @@ def _messages(df, contexts):
     )
 
 
-def demo_model(spark, sf):
+def demo_model(spark, sf, classifier=True):
     cases = labelling.usable_silver(fx.pairs(spark, sf)).select(
         F.col("brand_tweet_id").alias("id"), F.col("customer_text").alias("customer"),
         F.col("silver_intent").alias("intent"), F.col("brand_response").alias("brand_reply"),
     )
-    return triage.fit_demo(cases)
+    return triage.fit_demo(cases, classifier=classifier)
 
 
-def final_model(spark, sf):
+def final_model(spark, sf, classifier=True):
     pairs = cut_lineage(fx.pairs(spark, sf))
     wide = threads.thread_wide(threads.thread_context(pairs, fx.tweets(spark, sf)))
     train = cut_lineage(silver_split(spark, sf).where("split = 'train'"))
-    return triage.fit_final(train, triage.final_corpus(wide, train, brand_label=fx.BRAND))
+    corpus = triage.final_corpus(wide, train, brand_label=fx.BRAND)
+    return triage.fit_final(train, corpus, classifier=classifier)
 
 
 @query("tr1_triage_demo")
@@ -306,6 +307,218 @@ def _tr3(spark, sf):
     return read_sink(spark, sink)
 
 
+# Everything but the classifier, checked exactly: the intent of a message is its silver
+# label and the confidence follows from its length.
+
+
+def _given(rows, text="message"):
+    return rows.select(
+        "message_id", labelling.silver_intent(text).alias("predicted_intent"),
+        ((F.length("message") * 7) % 101 / F.lit(100e0)).alias("prediction_confidence"),
+    )
+
+
+def _intent_of(text: str) -> str:
+    return q.cascade(f"lower({text})", lx.SILVER_INTENTS, "unknown")
+
+
+def _confidence_of(text: str) -> str:
+    return f"((length({text}) * 7) % 101) / 100e0 AS confidence"
+
+
+def _top_sql(key: str, k: int) -> str:
+    """The k best cases per message, filled up with the smallest ids at score 0."""
+    return f"""scored AS (
+  SELECT b.message_id, g.{key}, round(sum(b.weight * g.weight), 6) AS score
+  FROM b_w b JOIN g_w g USING (term) GROUP BY ALL),
+found AS (SELECT * FROM (
+  SELECT a.message_id, a.intent AS predicted, c.*, coalesce(s.score, 0e0) AS score,
+    row_number() OVER (PARTITION BY a.message_id ORDER BY coalesce(s.score, 0e0) DESC, c.{key})
+      AS rank
+  FROM asked a CROSS JOIN cases c
+  LEFT JOIN scored s ON s.message_id = a.message_id AND s.{key} = c.{key}) WHERE rank <= {k})"""
+
+
+_DEMO_SQL = q.with_(
+    q.TWEETS, q.PAIRS,
+    f"cases AS (SELECT brand_tweet_id AS id, customer_text AS customer, {q.SILVER} AS intent, "
+    f"brand_response AS brand_reply FROM pairs WHERE {q.SILVER} <> 'unknown')",
+    f"asked AS (SELECT tweet_id AS message_id, text AS message, lower(text) AS low, "
+    f"{_intent_of('text')} AS intent, {_confidence_of('text')} FROM tweets WHERE inbound)",
+    tfidf_sql("cases", "id", "customer", features.DEMO, "g"),
+    grams_sql("asked", "message_id", "message", features.DEMO, "b"),
+    weights_sql("g", "b_tf", "message_id", "b_w"), _top_sql("id", lx.DEMO_TOP_K),
+    "best AS (SELECT a.*, f.score AS similarity, f.intent AS case_intent, f.brand_reply "
+    "FROM asked a LEFT JOIN found f ON f.message_id = a.message_id AND f.rank = 1)",
+)
+
+
+@query(
+    "tr1_triage_demo_given",
+    _DEMO_SQL
+    + f"""SELECT message_id, intent, round(confidence, 4) AS confidence,
+  CASE WHEN {_RISK} IS NOT NULL OR confidence < 0.58 OR similarity < 0.2 OR {_OPEN} IS NOT NULL
+    THEN 'ESCALATE' ELSE 'AUTO_HANDLE' END AS action,
+  CASE WHEN {_RISK} IS NOT NULL THEN 'High-risk signal detected: ''' || {_RISK} || '''.'
+    WHEN confidence < 0.58 THEN printf('Low intent confidence (%.2f).', confidence)
+    WHEN similarity < 0.2 THEN {q.lit(lx.DEMO_REASON_WEAK)}
+    WHEN {_OPEN} IS NOT NULL THEN 'Possible repeated/unresolved contact: ''' || {_OPEN} || '''.'
+    ELSE {q.lit(lx.DEMO_REASON_AUTO)} END AS reason,
+  CASE WHEN similarity < 0.2 THEN {q.lit(lx.DEMO_REPLY_CLARIFY)}
+    WHEN intent <> case_intent THEN {q.lit(lx.DEMO_REPLY_GENERIC)} ELSE brand_reply END AS draft_reply,
+  (SELECT string_agg(f.intent || ':' || round(f.score * 10000)::BIGINT || ':' || f.customer, '|'
+    ORDER BY f.rank) FROM found f WHERE f.message_id = best.message_id) AS evidence
+FROM best""",
+)
+def _tr1_given(spark, sf):
+    messages = cut_lineage(_messages(fx.tweets(spark, sf), _contexts(spark, sf)))
+    model = demo_model(spark, sf, classifier=False)
+    out = triage.triage_demo(messages, model, intents=_given(messages))
+    similarity = "similarity"
+    shown = F.transform(
+        "evidence",
+        lambda e: F.concat_ws(
+            ":", e["intent"], F.round(e[similarity] * 10000).cast("long").cast("string"), e["customer"]
+        ),
+    )
+    return out.withColumn("evidence", F.array_join(shown, "|")).drop("message")
+
+
+_BRAND_PREV = _PREV.replace("'Brand: '", q.lit(f"{fx.BRAND}: "))
+_FINAL_CASES = f"""wide AS ({WIDE_SQL}),
+ctx AS (SELECT customer_tweet_id, min({_BRAND_PREV}) AS context FROM wide GROUP BY ALL),
+labels AS (SELECT customer_tweet_id, arg_max(silver_intent, brand_tweet_id) AS intent FROM split
+  WHERE split = 'train' GROUP BY customer_tweet_id),
+cases AS (SELECT w.brand_tweet_id, w.customer_tweet_id, w.customer_text, {q.strip('p.brand_response')} AS brand_response, l.intent,
+    {q.clean_basic('w.customer_text')} || ' ' || {q.clean_basic(_BRAND_PREV)} AS retrieval_text
+  FROM wide w JOIN labels l USING (customer_tweet_id) JOIN pairs p USING (brand_tweet_id))"""
+
+
+def _final_sql(asked: str) -> str:
+    """CTEs up to ``triaged``; ``asked`` gives message_id, message, context, intent."""
+    terms = features.FINAL
+    reply = " ".join(f"WHEN {q.lit(k)} THEN {q.lit(v)}" for k, v in lx.FINAL_REPLIES.items())
+    return q.with_(
+        q.TWEETS, q.PAIRS, THREADS_SQL, SPLIT_SQL, _FINAL_CASES, f"asked AS ({asked})",
+        f"texts AS (SELECT message_id, {q.clean_basic('message')} || ' ' || "
+        f"{q.clean_basic('context')} AS query FROM asked)",
+        tfidf_sql("cases", "brand_tweet_id", "retrieval_text", terms, "g"),
+        grams_sql("texts", "message_id", "query", terms, "b"),
+        weights_sql("g", "b_tf", "message_id", "b_w"),
+        _top_sql("brand_tweet_id", lx.FINAL_CANDIDATES),
+        "picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY "
+        "(intent = predicted) DESC, score DESC, brand_tweet_id) AS pick FROM found) WHERE pick = 1)",
+        "rows AS (SELECT a.*, lower(a.message) AS low, coalesce(p.score, 0e0) AS similarity, "
+        "p.customer_text, p.brand_response AS response, p.customer_tweet_id, p.brand_tweet_id "
+        "FROM asked a LEFT JOIN picked p USING (message_id))",
+        f"gated AS (SELECT *, {_FINAL_REASON} AS reason FROM rows)",
+        f"""triaged AS (SELECT message_id, intent, round(confidence, 4) AS intent_confidence,
+  round(similarity, 4) AS retrieval_similarity,
+  CASE WHEN similarity >= 0.25 THEN 'YES' ELSE 'NO' END AS evidence_sufficient,
+  {q.cascade("lower(coalesce(response, ''))", lx.FINAL_ACTIONS, 'information')} AS action,
+  {_HANDLING} AS handling, reason,
+  CASE intent {reply} ELSE {q.lit(_DEFAULT)} END
+    || CASE WHEN regexp_matches(response, {q.lit(tx.URL)}) THEN {q.lit(lx.FINAL_REPLY_URL)}
+      || regexp_extract(response, {q.lit(tx.URL)}) ELSE '' END
+    || CASE WHEN {_HANDLING} = 'ESCALATE' THEN {q.lit(lx.FINAL_REPLY_ROUTED)} ELSE '' END AS reply,
+  coalesce(customer_text, '') AS evidence_customer, coalesce(response, '') AS evidence_response,
+  coalesce(customer_tweet_id, '') AS evidence_customer_tweet_id,
+  coalesce(brand_tweet_id, '') AS evidence_brand_tweet_id
+  FROM gated)""",
+    )
+
+
+@query(
+    "tr2_triage_final_given",
+    _final_sql(
+        f"SELECT t.tweet_id AS message_id, t.text AS message, coalesce(c.context, '') AS context, "
+        f"{_intent_of('t.text')} AS intent, {_confidence_of('t.text')} FROM tweets t "
+        "LEFT JOIN ctx c ON c.customer_tweet_id = t.tweet_id WHERE t.inbound"
+    )
+    + "SELECT * FROM triaged",
+)
+def _tr2_given(spark, sf):
+    messages = cut_lineage(_messages(fx.tweets(spark, sf), _contexts(spark, sf)))
+    model = final_model(spark, sf, classifier=False)
+    return triage.triage_final(messages, model, intents=_given(messages))
+
+
+# The golden rows carry the silver label of the message; the given intent is that of the
+# reply, so that both agree only sometimes.
+_GOLD_GATE = "CASE " + " ".join(
+    f"WHEN {c.replace('intent', 'gold_intent')} THEN 'ESCALATE'"
+    for c, n in _FINAL_CHECKS if n != "evidence"
+) + " ELSE 'AUTO-HANDLE' END"
+_EVALUATED = _final_sql(
+    f"SELECT s.brand_tweet_id AS message_id, s.customer_text AS message, "
+    f"coalesce(c.context, '') AS context, {_intent_of('s.brand_response')} AS intent, "
+    f"{_confidence_of('s.customer_text')}, s.silver_intent AS gold_intent, "
+    "s.brand_response AS gold_response "
+    "FROM split s LEFT JOIN ctx c USING (customer_tweet_id) WHERE s.split = 'validation'"
+).rstrip() + f""",
+golden AS (SELECT *, {_GOLD_GATE} AS gold_handling FROM (SELECT *, lower(message) AS low FROM asked)),
+evaluated AS (
+  SELECT t.* EXCLUDE (intent, action, handling, evidence_sufficient), g.gold_intent,
+    {q.cascade("lower(g.gold_response)", lx.FINAL_ACTIONS, 'information')} AS gold_action,
+    g.gold_handling, 'YES' AS gold_evidence_sufficient, t.intent AS pred_intent,
+    t.evidence_sufficient AS pred_evidence_sufficient, t.action AS pred_action,
+    t.handling AS pred_handling
+  FROM triaged t JOIN golden g USING (message_id))
+"""
+
+
+def _evaluated_given(spark, sf):
+    golden = cut_lineage(_golden(spark, sf))
+    replies = fx.pairs(spark, sf).select(F.col("brand_tweet_id").alias("message_id"), "brand_response")
+    intents = _given(golden.join(replies, "message_id"), "brand_response")
+    model = final_model(spark, sf, classifier=False)
+    return triage.golden_eval(golden, triage.triage_final(golden, model, intents=intents))
+
+
+@query("ev6_golden_predictions_given", _EVALUATED + "SELECT * FROM evaluated")
+def _ev6_given(spark, sf):
+    return _evaluated_given(spark, sf)
+
+
+@query(
+    "ev6_golden_accuracy_given",
+    _EVALUATED
+    + "SELECT round(avg((gold_intent = pred_intent)::DOUBLE), 6) AS intent_accuracy, "
+    "round(avg((gold_action = pred_action)::DOUBLE), 6) AS action_accuracy, "
+    "round(avg((gold_handling = pred_handling)::DOUBLE), 6) AS handling_accuracy, "
+    "round(avg((gold_evidence_sufficient = pred_evidence_sufficient)::DOUBLE), 6) "
+    "AS evidence_agreement FROM evaluated",
+)
+def _ev6a_given(spark, sf):
+    found = report.golden_metrics(cut_lineage(_evaluated_given(spark, sf)))
+    names = ["intent_accuracy", "action_accuracy", "handling_accuracy", "evidence_agreement"]
+    return found.groupBy().pivot("key", names).agg(F.first("value"))
+
+
+@query(
+    "ev8_demo_evaluation_given",
+    _DEMO_SQL
+    + f"SELECT count(*) AS n, round(avg((b.intent = g.gold)::DOUBLE), 6) AS accuracy FROM best b "
+    f"JOIN (SELECT customer_tweet_id AS message_id, {_intent_of('min(brand_response)')} AS gold "
+    "FROM pairs GROUP BY ALL) g USING (message_id)",
+)
+def _ev8_given(spark, sf):
+    """The demo agent against labelled messages: n and accuracy; the other figures are
+    those of ev2 and ev3."""
+    messages = cut_lineage(_messages(fx.tweets(spark, sf), _contexts(spark, sf)))
+    out = triage.triage_demo(
+        messages, demo_model(spark, sf, classifier=False), intents=_given(messages)
+    )
+    replies = fx.pairs(spark, sf).groupBy(F.col("customer_tweet_id").alias("message_id")).agg(
+        F.min("brand_response").alias("reply")
+    )
+    gold = replies.select("message_id", labelling.silver_intent("reply").alias("gold"))
+    rows = cut_lineage(out.join(gold, "message_id").select("intent", "gold"))
+    return report.demo_metrics(rows, "gold", "intent").where("section = 'metrics'").groupBy().pivot(
+        "key", ["n", "accuracy"]
+    ).agg(F.first("value")).select(F.col("n").cast("long").alias("n"), "accuracy")
+
+
 def _golden(spark, sf):
     """Validation pairs as a golden set: silver intents and rule-made labels."""
     rows = silver_split(spark, sf).where("split = 'validation'").join(
