@@ -65,8 +65,9 @@ def test_groups_match_brute_force(spark, words):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
-def test_bucket_with_several_groups_is_finished(spark):
+def test_bucket_with_several_groups_is_finished(spark, monkeypatch):
     """All classes in one bucket: the rounds after the first must find every link."""
+    monkeypatch.setattr(near_dedup, "REACH", 2)
     docs = near_copies(seed=3, groups=6, members=6)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     source = df.select("doc_id", "text")
@@ -75,7 +76,7 @@ def test_bucket_with_several_groups_is_finished(spark):
     first = min(i for i, _ in docs)
     pairs = buckets.where(F.col("rep") != first).select(F.lit(first).alias("a"), F.col("rep").alias("b"))
     links = near_dedup._confirmed(pairs, sets, 80)
-    found = near_dedup._remaining(buckets, links, components(links), sets, 80).collect()
+    found = near_dedup._remaining(buckets, components(links), pairs, sets, 80).collect()
     group = {r.node: r.component for r in found}
     want = expected(docs, 2, 80)
     assert {i: group.get(i, i) for i, _ in docs} == {i: c for i, (_, c) in want.items()}

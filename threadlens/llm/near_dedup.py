@@ -7,10 +7,10 @@ With 40 bands of 6 registers a pair of similarity 0.8 misses all bands with a ch
 
 A bucket is not expanded into its pairs. Its smallest class is compared with the others,
 and confirmed links are grouped. Only buckets that still hold more than one group go on:
-their next 1, 2, 4, ... classes are compared with the later ones of other groups, until
-each bucket has one group or all its pairs of different groups have been compared. So no
-link between groups is lost, and a large group of near copies costs about one
-comparison per member and band.
+the classes outside the largest group are compared with classes of other groups, near
+ranks first, until each bucket has one group or all its pairs of different groups have
+been compared. So no link between groups is lost, and a large group of near copies costs
+a few comparisons per member and band.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from threadlens.llm.superminhash import band_keys, shingle_set, signatures
 from threadlens.session import cut_lineage
 
 BANDS, ROWS = 40, 6
+REACH, WIDER = 8, 4
 SLICE_SHINGLES = 60_000  # shingles whose signatures a task computes at a time
 
 
@@ -141,7 +142,7 @@ def near_duplicates(
     )
     links = _confirmed(pairs, sets, percent).unionByName(_same_id(real, classes))
     found = cut_lineage(components(links))
-    found = _remaining(buckets.select("key", "rep"), links, found, sets, percent)
+    found = _remaining(buckets.select("key", "rep"), found, pairs, sets, percent)
     return _grouped(sketches, classes, found)
 
 
@@ -160,44 +161,84 @@ def _same_id(real: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _remaining(buckets, links, found, sets, percent):
-    """Compare what lies in one bucket but not in one group, leader by leader."""
-    first = 2  # rank of the next leader; the smallest class of each bucket is done
-    ranked = buckets
+def _remaining(buckets, found, checked, sets, percent):
+    """Finish the buckets that hold more than one group.
+
+    Classes of a bucket are ranked. Those outside its largest group are compared with the
+    classes up to ``reach`` ranks away, then with those farther off, ``WIDER`` times as
+    far each round, always only with other groups: once a class has joined the largest
+    group it needs no more partners, and pairs within a group are never made. ``found``
+    is (node, component), ``checked`` the pairs (a < b) that have been compared."""
+    everyone = buckets.select(F.col("rep").alias("node")).unionByName(found.select("node"))
+    known = found.withColumnRenamed("node", "n")
+    groups = cut_lineage(
+        everyone.distinct().join(known, F.col("node") == F.col("n"), "left")
+        .select("node", F.coalesce("component", "node").alias("component"))
+    )
+    ranked, low, high = buckets, 1, REACH
     while True:
-        grouped = _with_group(ranked, found)
-        open_keys = (
-            grouped.groupBy("key")
-            .agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("n"))
-            .where((F.col("low") != F.col("high")) & (F.col("n") > 2))
-            .select(F.col("key").alias("open"))
-        )
-        rest = cut_lineage(grouped.join(open_keys, F.col("key") == F.col("open"), "left_semi"))
+        rest = cut_lineage(_open_buckets(ranked, groups, low))
         if rest.isEmpty():
-            return found
-        if first == 2:
-            rest = cut_lineage(
-                running_total(rest.withColumn("one", F.lit(1)), ["rep"], "one", "rank", by=["key"])
-                .drop("one")
-            )
-        leaders = rest.where(F.col("rank").between(first, 2 * first - 1)).select(
-            F.col("key").alias("lkey"), F.col("rep").alias("a"), F.col("rank").alias("lrank"),
-            F.col("group").alias("lgroup"),
+            return groups
+        if ranked is buckets:
+            one = rest.withColumn("one", F.lit(1))
+            rest = cut_lineage(running_total(one, ["rep"], "one", "rank", by=["key"]).drop("one"))
+        steps = F.sequence(F.lit(low), F.lit(high))
+        outside = rest.where(F.col("group") != F.col("main")).select(
+            F.col("key").alias("okey"), F.col("rep").alias("orep"), F.col("group").alias("ogroup"),
+            "rank", "size", F.explode(F.concat(steps, F.transform(steps, lambda d: -d))).alias("step"),
         )
+        asked = outside.withColumn("place", F.col("rank") + F.col("step")).where(
+            F.col("place").between(F.lit(1), F.col("size"))
+        ).drop("rank", "size", "step")
+        met = rest.join(
+            asked,
+            (F.col("key") == F.col("okey")) & (F.col("rank") == F.col("place"))
+            & (F.col("group") != F.col("ogroup")),
+        )
+        pairs = met.select(
+            F.least("rep", "orep").alias("a"), F.greatest("rep", "orep").alias("b")
+        ).distinct()
+        done = checked.select(F.col("a").alias("da"), F.col("b").alias("db"))
         pairs = cut_lineage(
-            rest.join(leaders, (F.col("key") == F.col("lkey")) & (F.col("rank") > F.col("lrank"))
-                      & (F.col("group") != F.col("lgroup")))
-            .select("a", F.col("rep").alias("b")).distinct()
+            pairs.join(done, (F.col("a") == F.col("da")) & (F.col("b") == F.col("db")), "left_anti")
         )
-        links = cut_lineage(links.unionByName(_confirmed(pairs, sets, percent)))
-        found = cut_lineage(components(links))
-        ranked = rest.where(F.col("rank") >= first).select("key", "rep", "rank")
-        first *= 2
+        checked = checked.unionByName(pairs)
+        groups = _merged(groups, _confirmed(pairs, sets, percent))
+        ranked = rest.select("key", "rep", "rank")
+        low, high = high + 1, high * WIDER
 
 
-def _with_group(ranked: DataFrame, found: DataFrame) -> DataFrame:
-    joined = ranked.join(found, F.col("rep") == F.col("node"), "left")
-    return joined.withColumn("group", F.coalesce("component", "rep")).drop("node", "component")
+def _open_buckets(ranked: DataFrame, groups: DataFrame, low: int) -> DataFrame:
+    """Rows of the buckets with several groups and with pairs at least ``low`` ranks apart,
+    with their group, the largest group of the bucket and the bucket's size. The pair of a
+    bucket of two has been compared before."""
+    grouped = ranked.join(groups, F.col("rep") == F.col("node")).drop("node").withColumnRenamed(
+        "component", "group"
+    )
+    counts = grouped.groupBy("key", "group").agg(F.count("*").alias("n"))
+    wide = (
+        counts.groupBy("key").agg(
+            F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("groups"),
+            F.sum("n").alias("size"),
+        )
+        .where((F.col("groups") > 1) & (F.col("size") > max(low, 2)))
+        .select(F.col("key").alias("open"), F.col("most.group").alias("main"), "size")
+    )
+    return grouped.join(wide, F.col("key") == F.col("open")).drop("open")
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups after new links: the links join whole groups, so only groups are searched."""
+    one = groups.select(F.col("node").alias("x"), F.col("component").alias("ga"))
+    two = groups.select(F.col("node").alias("y"), F.col("component").alias("gb"))
+    between = links.join(one, F.col("a") == F.col("x")).join(two, F.col("b") == F.col("y"))
+    joined = components(between.select(F.col("ga").alias("a"), F.col("gb").alias("b")))
+    joined = joined.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    return cut_lineage(
+        groups.join(joined, F.col("component") == F.col("old"), "left")
+        .select("node", F.coalesce("new", "component").alias("component"))
+    )
 
 
 def _grouped(sketches, classes, found) -> DataFrame:
