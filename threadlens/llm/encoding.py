@@ -2,7 +2,9 @@
 
 Both vocabularies used here cut a text into words before merging, and never across the
 places named below, so a text's tokens are those of its segments one after the other.
-A cache of the segments met so far saves most of the work on natural text."""
+A cache of the segments met so far saves most of the work on natural text; new segments
+share their words, without the stops behind them, and plain words are encoded many at a
+time."""
 
 from __future__ import annotations
 
@@ -10,6 +12,8 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+
 # White space as Unicode defines it; the tokenizers' \s.
 SPACE = "\\t-\\r " + "".join(
     map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
@@ -18,8 +22,12 @@ SPACE = "\\t-\\r " + "".join(
 # goes with the word after it.
 BYTE_LEVEL_SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-CACHED_SEGMENTS = 300_000
+# Stops behind a letter are words of their own to both patterns.
+STOPS = ".,;:!?"
+
+CACHED_SEGMENTS = 700_000
 SLICE_CHARS = 1_000_000
+JOINED_WORDS = 512
 
 
 def load_tokenizer(path: str):
@@ -30,6 +38,16 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def word_borders(tokenizer, joint: str) -> np.ndarray:
+    """For each id, whether its token begins a word (byte-level vocabularies mark the
+    blank before it) or, for those that drop white space, ends one."""
+    size = tokenizer.get_vocab_size(with_added_tokens=True)
+    border = np.zeros(size, bool)
+    for token, number in tokenizer.get_vocab(with_added_tokens=True).items():
+        border[number] = token.startswith("\u0120") if joint else token.endswith("</w>")
+    return border
+
+
 def slices(texts: Iterable[str], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
     """Neighbouring texts in lists of about ``chars`` characters."""
     part: list[str] = []
@@ -44,23 +62,79 @@ def slices(texts: Iterable[str], chars: int = SLICE_CHARS) -> Iterator[list[str]
         yield part
 
 
-def cached_segments(
-    tokenizer, texts: Iterable[str], cut: Callable[[str], list], result: Callable,
-    decode: Callable = str, limit: int = CACHED_SEGMENTS,
-) -> Iterator[list]:
-    """For each text the list of its segments' results, through one cache."""
-    cache: dict = {}
+def word_cut(text: str) -> list[bytes]:
+    """For vocabularies that drop white space: the words between ASCII blanks."""
+    return text.encode("utf-8").split()
+
+
+def fold(word: bytes) -> str:
+    """A word as such a vocabulary sees it: it lower-cases what is no special string."""
+    return (word if b"<|" in word else word.lower()).decode("utf-8")
+
+
+def byte_level_cut(text: str) -> list[str]:
+    """For byte-level vocabularies, which keep white space."""
+    return BYTE_LEVEL_SEGMENT.findall(text)
+
+
+def encoded_segments(
+    tokenizer, texts: Iterable[str], cut: Callable[[str], list], plain: Callable = str,
+    joint: str = "", limit: int = CACHED_SEGMENTS,
+) -> Iterator[list[bytes]]:
+    """For each text the token ids of its segments, as little-endian 32-bit numbers.
+
+    ``cut`` gives a text's segments and ``plain`` a segment's text. ``joint`` is what
+    stands before a word of letters in a segment that holds only it."""
+    known: dict = {}
+    words: dict[str, bytes] = {"": b""}
+    border = word_borders(tokenizer, joint)
     for part in slices(texts):
         pieces = [cut(t) for t in part]
-        fresh = list(set().union(*pieces) - cache.keys())
-        if len(cache) + len(fresh) > limit:
-            cache = {}
-            fresh = list(set().union(*pieces))
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            found = tokenizer.encode_batch_fast(
-                [decode(x) for x in some], add_special_tokens=False
-            )
-            cache.update(zip(some, map(result, found)))
-        for own in pieces:
-            yield [cache[x] for x in own]
+        found = [list(map(known.get, own)) for own in pieces]
+        fresh = {x for own, got in zip(pieces, found) if None in got
+                 for x, ids in zip(own, got) if ids is None}
+        if len(known) + len(fresh) > limit:
+            known, words = {}, {"": b""}
+        split = [(x, *_without_stops(plain(x))) for x in fresh]
+        new = {w for _, word, stops in split for w in (word, stops)} - words.keys()
+        words.update(_encode_words(tokenizer, list(new), joint, border))
+        known.update([(x, words[word] + words[stops]) for x, word, stops in split])
+        for own, got in zip(pieces, found):
+            if None in got:
+                got = [known[x] if ids is None else ids for x, ids in zip(own, got)]
+            yield got
+
+
+def _without_stops(text: str) -> tuple[str, str]:
+    word = text.rstrip(STOPS)
+    return (word, text[len(word) :]) if word[-1:].lower().isalpha() else (text, "")
+
+
+def _encode_words(
+    tokenizer, texts: list[str], joint: str, border: np.ndarray
+) -> Iterator[tuple[str, bytes]]:
+    """Texts of letters only are encoded together and told apart by ``border``."""
+    skip = len(joint)
+    joined, single = [], []
+    for t in texts:
+        (joined if t.startswith(joint) and t[skip:].isalpha() else single).append(t)
+    batches = [joined[i : i + JOINED_WORDS] for i in range(0, len(joined), JOINED_WORDS)]
+    glue = "" if joint else " "
+    for at in range(0, len(batches), 64):
+        some = batches[at : at + 64]
+        found = tokenizer.encode_batch_fast([glue.join(b) for b in some], add_special_tokens=False)
+        for batch, encoding in zip(some, found):
+            ids = np.array(encoding.ids, "<u4")
+            at_border = np.flatnonzero(border[ids])
+            if len(at_border) != len(batch):  # the tokenizer sees other words there
+                single += batch
+                continue
+            ends = np.append(at_border[1:], len(ids)) if joint else at_border + 1
+            data, start = ids.tobytes(), 0
+            for text, end in zip(batch, (4 * ends).tolist()):
+                yield text, data[start:end]
+                start = end
+    for at in range(0, len(single), 4096):
+        some = single[at : at + 4096]
+        for text, encoding in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            yield text, np.array(encoding.ids, "<u4").tobytes()

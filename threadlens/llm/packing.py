@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadlens.llm.encoding import cached_segments, load_tokenizer
+from threadlens.llm.common import packed_row, unpacked
+from threadlens.llm.encoding import encoded_segments, fold, load_tokenizer, word_cut
 from threadlens.session import cut_lineage
 
 CAPACITY = 2048
@@ -37,10 +38,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
-            encoded = cached_segments(
-                tokenizer, batch["text"], lambda t: t.encode("utf-8").split(),
-                lambda e: np.array(e.ids, "<u4").tobytes(), bytes.decode,
-            )
+            encoded = encoded_segments(tokenizer, batch["text"], word_cut, fold)
             rows = []
             for doc_id, parts in zip(batch["doc_id"], encoded):
                 data = b"".join(parts) + end
@@ -215,14 +213,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ``best_fit``. Columns of these names are replaced; no rows give no rows."""
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     stored = cut_lineage(
-        pieces.select(*names).withColumn("__item", F.monotonically_increasing_id())
+        pieces.select(packed_row(names), "length", F.monotonically_increasing_id().alias("number"))
     )
     part = stored.where(F.col("length") < capacity)
-    packed = best_fit(part.select(F.col("__item").alias("item"), F.col("length").alias("len")), capacity)
-    packed = packed.select("item", F.col("bin").alias("sequence_id"), "offset")
+    items = part.select(F.col("number").alias("item"), F.col("length").alias("len"))
+    packed = best_fit(items, capacity)
     whole = stored.where(F.col("length") >= capacity).select(
-        *names, (-1 - F.col("__item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        "row", (-1 - F.col("number")).alias("bin"), F.lit(0).cast("long").alias("offset")
     )
-    return whole.unionByName(
-        part.join(packed, F.col("__item") == F.col("item")).select(*names, "sequence_id", "offset")
+    placed = part.join(packed, F.col("number") == F.col("item")).select("row", "bin", "offset")
+    return whole.unionByName(placed).select(
+        *unpacked(names), F.col("bin").alias("sequence_id"), "offset"
     )
