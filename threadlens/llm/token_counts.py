@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadlens.llm.encoding import BYTE_LEVEL_SEGMENT, cached_segments, load_tokenizer
+from threadlens.llm.encoding import byte_level_cut, encoded_segments, load_tokenizer
 from threadlens.session import cut_lineage
 
 CHUNK_CHARS, OVERLAP_CHARS, MARGIN_CHARS = 32_768, 1_024, 16
@@ -33,8 +33,9 @@ def _count_whole(path: str, keys: list[str]):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load_tokenizer(path)
         for batch in batches:
-            found = cached_segments(tokenizer, batch["__text"], BYTE_LEVEL_SEGMENT.findall, len)
-            yield batch[[*keys, "n_bytes"]].assign(n_tokens=[sum(x) for x in found])
+            found = encoded_segments(tokenizer, batch["__text"], byte_level_cut, joint=" ")
+            sizes = [sum(map(len, x)) // 4 for x in found]
+            yield batch[[*keys, "n_bytes"]].assign(n_tokens=sizes)
 
     return count
 
@@ -43,21 +44,23 @@ def _boundaries(encoding, low: int, high: int) -> tuple[list[int], list[int]]:
     """Offsets in [low, high) where a word starts, and the tokens before each."""
     words, spans = encoding.word_ids, encoding.offsets
     at = [
-        i for i in range(1, len(words))
-        if words[i] != words[i - 1] and low <= spans[i][0] < high
+        i for i in range(len(words))
+        if (i == 0 or words[i] != words[i - 1]) and low <= spans[i][0] < high
     ]
     return [spans[i][0] for i in at], at
 
 
-def _count_chunks(path: str, chunk: int, margin: int):
+def _count_chunks(path: str, chunk: int, overlap: int, margin: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load_tokenizer(path)
         for batch in batches:
             rows = []
             for row, k, text in zip(batch["row"], batch["k"], batch["part"]):
                 found = tokenizer.encode(text, add_special_tokens=False)
-                lead = _boundaries(found, 0, len(text) - chunk if len(text) > chunk else 0)
-                trail = _boundaries(found, chunk, len(text) - margin)
+                lead = _boundaries(found, 0, overlap)
+                # A chunk that sees the end of its text has nothing left to see.
+                unseen = margin if len(text) == chunk + overlap else 0
+                trail = _boundaries(found, chunk, len(text) - unseen)
                 trail = ([p - chunk for p in trail[0]], trail[1])
                 rows.append((row, k, len(found), *lead, *trail))
             yield pd.DataFrame(
@@ -85,7 +88,7 @@ def _encoded_chunks(texts: DataFrame, path: str, chunk: int, overlap: int, margi
         )
         .repartition("row", "k")
     )
-    return parts.mapInPandas(_count_chunks(path, chunk, margin), CHUNK_ROW)
+    return parts.mapInPandas(_count_chunks(path, chunk, overlap, margin), CHUNK_ROW)
 
 
 def count_tokens(
