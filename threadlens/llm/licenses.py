@@ -17,7 +17,7 @@ from threadlens.llm.common import ascii_lower
 # Identifiers of license sentences and patterns of the whole normalised
 # sentence. The first pattern that fits names the sentence.
 SENTENCES = [
-    ("SPDX_TAG", r"spdx license identifier .+"),
+    ("SPDX_TAG", r"spdx license identifier( .+)?"),
     ("COPYRIGHT", r"(portions )?copyright( c)?( (19|20)[0-9]{2}.*| by .+| the .+)"),
     ("ALL_RIGHTS", r"(.* )?all rights reserved"),
     ("APACHE2_REF", r"(.* )?(licensed|released|distributed|available) under the( terms of the)? apache (software )?license( version)? 2( 0)?( the license)?"),
