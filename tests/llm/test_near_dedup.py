@@ -76,7 +76,8 @@ def test_bucket_with_several_groups_is_finished(spark, monkeypatch):
     first = min(i for i, _ in docs)
     pairs = buckets.where(F.col("rep") != first).select(F.lit(first).alias("a"), F.col("rep").alias("b"))
     links = near_dedup._confirmed(pairs, sets, 80)
-    found = near_dedup._remaining(buckets, components(links), pairs, sets, 80).collect()
+    keys = buckets.select(F.col("rep").alias("krep"), F.array("key").alias("keys"))
+    found = near_dedup._remaining(buckets, keys, components(links), pairs, sets, 80).collect()
     group = {r.node: r.component for r in found}
     want = expected(docs, 2, 80)
     assert {i: group.get(i, i) for i, _ in docs} == {i: c for i, (_, c) in want.items()}

@@ -29,7 +29,7 @@ from threadlens.llm.superminhash import band_keys, shingle_set, signatures
 from threadlens.session import cut_lineage
 
 BANDS, ROWS = 40, 6
-REACH, WIDER = 8, 4
+REACH, WIDER = 4, 4
 SLICE_SHINGLES = 60_000  # shingles whose signatures a task computes at a time
 
 
@@ -142,7 +142,12 @@ def near_duplicates(
     )
     links = _confirmed(pairs, sets, percent).unionByName(_same_id(real, classes))
     found = cut_lineage(components(links))
-    found = _remaining(buckets.select("key", "rep"), found, pairs, sets, percent)
+    # An id whose rows have different texts has the keys of all of them.
+    keys = (
+        reps.select(F.col("doc_id").alias("krep"), "keys").distinct()
+        .groupBy("krep").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    )
+    found = _remaining(buckets.select("key", "rep"), keys, found, pairs, sets, percent)
     return _grouped(sketches, classes, found)
 
 
@@ -161,14 +166,15 @@ def _same_id(real: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _remaining(buckets, found, checked, sets, percent):
+def _remaining(buckets, keys, found, checked, sets, percent):
     """Finish the buckets that hold more than one group.
 
     Classes of a bucket are ranked. Those outside its largest group are compared with the
     classes up to ``reach`` ranks away, then with those farther off, ``WIDER`` times as
     far each round, always only with other groups: once a class has joined the largest
-    group it needs no more partners, and pairs within a group are never made. ``found``
-    is (node, component), ``checked`` the pairs (a < b) that have been compared."""
+    group it needs no more partners, and pairs within a group are never made. ``keys``
+    holds all band keys of each class, ``found`` is (node, component), ``checked`` the
+    pairs (a < b) that have been compared."""
     everyone = buckets.select(F.col("rep").alias("node")).unionByName(found.select("node"))
     known = found.withColumnRenamed("node", "n")
     groups = cut_lineage(
@@ -182,19 +188,18 @@ def _remaining(buckets, found, checked, sets, percent):
             return groups
         if ranked is buckets:
             one = rest.withColumn("one", F.lit(1))
-            rest = cut_lineage(running_total(one, ["rep"], "one", "rank", by=["key"]).drop("one"))
-        steps = F.sequence(F.lit(low), F.lit(high))
-        outside = rest.where(F.col("group") != F.col("main")).select(
+            rest = running_total(one, ["rep"], "one", "rank", by=["key"]).drop("one")
+            rest = cut_lineage(rest.join(keys, F.col("rep") == F.col("krep")).drop("krep"))
+        asked = rest.where(F.col("group") != F.col("main")).select(
             F.col("key").alias("okey"), F.col("rep").alias("orep"), F.col("group").alias("ogroup"),
-            "rank", "size", F.explode(F.concat(steps, F.transform(steps, lambda d: -d))).alias("step"),
+            F.col("keys").alias("okeys"), F.explode(_places(low, high)).alias("place"),
         )
-        asked = outside.withColumn("place", F.col("rank") + F.col("step")).where(
-            F.col("place").between(F.lit(1), F.col("size"))
-        ).drop("rank", "size", "step")
+        # Two classes may share many buckets; the least common key makes their pair once.
         met = rest.join(
             asked,
             (F.col("key") == F.col("okey")) & (F.col("rank") == F.col("place"))
-            & (F.col("group") != F.col("ogroup")),
+            & (F.col("group") != F.col("ogroup"))
+            & (F.col("key") == F.array_min(F.array_intersect("keys", "okeys"))),
         )
         pairs = met.select(
             F.least("rep", "orep").alias("a"), F.greatest("rep", "orep").alias("b")
@@ -205,10 +210,23 @@ def _remaining(buckets, found, checked, sets, percent):
         )
         checked = checked.unionByName(pairs)
         groups = _merged(groups, _confirmed(pairs, sets, percent))
-        ranked = rest.select("key", "rep", "rank")
+        ranked = rest.select("key", "rep", "keys", "rank")
         low, high = high + 1, high * WIDER
 
 
+def _places(low: int, high: int):
+    """The ranks that lie ``low`` to ``high`` before or behind a row in its bucket."""
+    none = F.array().cast("array<bigint>")
+    rank, size = F.col("rank"), F.col("size")
+    behind = F.when(
+        rank + low <= size, F.sequence(rank + low, F.least(rank + high, size))
+    ).otherwise(none)
+    before = F.when(
+        rank - low >= 1, F.sequence(F.greatest(rank - high, F.lit(1).cast("long")), rank - low)
+    ).otherwise(none)
+    return F.concat(before, behind)
+
+
 def _open_buckets(ranked: DataFrame, groups: DataFrame, low: int) -> DataFrame:
     """Rows of the buckets with several groups and with pairs at least ``low`` ranks apart,
     with their group, the largest group of the bucket and the bucket's size. The pair of a
