@@ -31,8 +31,9 @@ def sampled_labels(labels: DataFrame, label: str, rows: int, by_class: bool) ->
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, by_class: bool):
-    """(text, label) of the sampled documents, at most twice ``rows``. The sampled ids
-    are broadcast: their number is bounded by ``rows``, whatever the size of the data."""
+    """(text, label) of the sampled documents, wherever they are: limit what is made of
+    them, as documents may repeat an id. The sampled ids are broadcast: their number is
+    bounded by ``rows``, whatever the size of the data."""
     ids = F.broadcast(sampled_labels(labels, label, rows, by_class))
     texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("text"))
-    return texts.join(ids, F.col("__id") == F.col("label_id")).select("text", "label").limit(2 * rows)
+    return texts.join(ids, F.col("__id") == F.col("label_id")).select("text", "label")

@@ -67,7 +67,7 @@ def fit_quality(
             yield pd.DataFrame({"x": found, "label": batch["label"]})
 
     sample = labelled_rows(docs, labels, label, rows, by_class=False)
-    got = sample.mapInPandas(featured, "x array<double>, label int").collect()
+    got = sample.mapInPandas(featured, "x array<double>, label int").limit(2 * rows).collect()
     got.sort()  # rows arrive in any order; sums of floats depend on it
     x = np.array([r["x"] for r in got], dtype=float).reshape(len(got), len(FEATURES))
     return fit(x, np.array([r["label"] for r in got], dtype=float))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from threadlens.llm.gam import sigmoid
 from threadlens.llm.labelled import labelled_rows
+from threadlens.session import cut_lineage
 
 TRAINING_ROWS, TRAINING_CHARS = 6_000, 12_000_000
 BUCKETS, DIM, WINDOW = 1 << 16, 8, 8
@@ -206,28 +207,24 @@ def fit_toxicity(
     chars: int = TRAINING_CHARS, **options,
 ) -> SubwordModel:
     """Fit on about ``rows`` labelled documents (never over twice as many), half of each
-    class where there are enough, taken in hash order up to ``chars`` characters; a longer
-    document is passed over. Leave held-out labels out of ``labels``."""
+    class where there are enough, equal texts once, taken in hash order up to ``chars``
+    characters; a longer document is passed over. Leave held-out labels out of ``labels``."""
     sample = labelled_rows(docs, labels, label, rows, by_class=True)
     size = F.coalesce(F.char_length("text"), F.lit(0))
-    # A document counts by its length, so the sum over hash order bounds the sample.
-    ordered = sample.withColumn("size", size).withColumn("h", F.xxhash64("text"))
-    sizes = ordered.groupBy("h").agg(F.sum("size").alias("size")).collect()
+    ordered = cut_lineage(
+        sample.withColumn("size", size).where(F.col("size") <= chars)
+        .withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "label"])
+    )
     total, last = 0, None
-    for r in sorted(sizes, key=lambda r: r["h"]):
+    for r in ordered.select("h", "label", "size").orderBy("h", "label").limit(2 * rows).collect():
         if total + r["size"] > chars:
-            continue
-        total, last = total + r["size"], r["h"]
+            break
+        total, last = total + r["size"], (r["h"], r["label"])
     if last is None:
         return fit_subwords([], np.empty(0), **options)
-    fitting = ordered.where((F.col("h") <= last) & (F.col("size") <= chars))
-    got = sorted((r["h"], r["text"] or "", r["label"]) for r in fitting.collect())
-    kept, used = [], 0
-    for _, text, mark in got:
-        if used + len(text) <= chars:
-            used += len(text)
-            kept.append((text, mark))
-    return fit_subwords([t for t, _ in kept], np.array([m for _, m in kept]), **options)
+    first = (F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("label") <= last[1]))
+    got = sorted((r["h"], r["label"], r["text"]) for r in ordered.where(first).collect())
+    return fit_subwords([t for *_, t in got], np.array([m for _, m, _ in got]), **options)
 
 
 def toxicity_score(model: SubwordModel, text: Column | str) -> Column:
