@@ -67,9 +67,12 @@ def word_cut(text: str) -> list[bytes]:
     return text.encode("utf-8").split()
 
 
-def fold(word: bytes) -> str:
-    """A word as such a vocabulary sees it: it lower-cases what is no special string."""
-    return (word if b"<|" in word else word.lower()).decode("utf-8")
+def fold(words: list[bytes]) -> list[str]:
+    """Words as such a vocabulary sees them: it lower-cases what is no special string."""
+    together = b" ".join(words)
+    if b"<|" not in together:
+        return together.lower().decode("utf-8").split(" ") if words else []
+    return [(w if b"<|" in w else w.lower()).decode("utf-8") for w in words]
 
 
 def byte_level_cut(text: str) -> list[str]:
@@ -78,12 +81,12 @@ def byte_level_cut(text: str) -> list[str]:
 
 
 def encoded_segments(
-    tokenizer, texts: Iterable[str], cut: Callable[[str], list], plain: Callable = str,
+    tokenizer, texts: Iterable[str], cut: Callable[[str], list], plain: Callable = list,
     joint: str = "", limit: int = CACHED_SEGMENTS,
 ) -> Iterator[list[bytes]]:
     """For each text the token ids of its segments, as little-endian 32-bit numbers.
 
-    ``cut`` gives a text's segments and ``plain`` a segment's text. ``joint`` is what
+    ``cut`` gives a text's segments and ``plain`` the texts of segments. ``joint`` is what
     stands before a word of letters in a segment that holds only it."""
     known: dict = {}
     words: dict[str, bytes] = {"": b""}
@@ -91,23 +94,25 @@ def encoded_segments(
     for part in slices(texts):
         pieces = [cut(t) for t in part]
         found = [list(map(known.get, own)) for own in pieces]
-        fresh = {x for own, got in zip(pieces, found) if None in got
-                 for x, ids in zip(own, got) if ids is None}
+        fresh = list({x for own, got in zip(pieces, found) if None in got
+                      for x, ids in zip(own, got) if ids is None})
         if len(known) + len(fresh) > limit:
             known, words = {}, {"": b""}
-        split = [(x, *_without_stops(plain(x))) for x in fresh]
-        new = {w for _, word, stops in split for w in (word, stops)} - words.keys()
+        whole = plain(fresh)
+        heads = list(map(_without_stops, whole))
+        tails = [w[len(h) :] for w, h in zip(whole, heads)]
+        new = (set(heads) | set(tails)) - words.keys()
         words.update(_encode_words(tokenizer, list(new), joint, border))
-        known.update([(x, words[word] + words[stops]) for x, word, stops in split])
+        known.update(zip(fresh, [words[h] + words[t] for h, t in zip(heads, tails)]))
         for own, got in zip(pieces, found):
             if None in got:
                 got = [known[x] if ids is None else ids for x, ids in zip(own, got)]
             yield got
 
 
-def _without_stops(text: str) -> tuple[str, str]:
+def _without_stops(text: str) -> str:
     word = text.rstrip(STOPS)
-    return (word, text[len(word) :]) if word[-1:].lower().isalpha() else (text, "")
+    return word if word[-1:].lower().isalpha() else text
 
 
 def _encode_words(
