@@ -34,6 +34,7 @@ TRAINING_ROWS, MAX_LISTS, LIST_ROWS = 20_000, 4_096, 200
 LINKS, RANDOM_LINKS, WIDEN = 12, 4, 4
 BORDER, COPIES = 1.05, 3  # a vector is posted to up to 3 lists within 5 % more distance
 SHARD_ROWS, QUERY_ROWS = 8_192, 8_192
+STEP = 512  # rows that walk the graph at a time
 COVERAGE = 0.97
 
 
@@ -136,7 +137,9 @@ def _measure_ratio(index: Index, rows: np.ndarray, lifted: np.ndarray, k: int, c
         return
     best = np.argpartition(-product, k - 1, axis=1)[:, :k]
     d = np.sqrt(squared_distances(index.lifted(rows[some], queries=True), index.centers))
-    posted, where = _posted(index, lifted[best.reshape(-1)])
+    near = best.reshape(-1)
+    parts = [_posted(index, lifted[near[i : i + STEP]]) for i in range(0, len(near), STEP)]
+    posted, where = (np.concatenate(x) for x in zip(*parts))
     reach = np.where(posted, np.take_along_axis(np.repeat(d, k, axis=0), where, 1), np.inf).min(1)
     ratio = reach / np.repeat(np.maximum(d.min(1), 1e-12), k)
     index.ratio = float(np.quantile(ratio, coverage)) + 1e-9
@@ -156,8 +159,8 @@ def _posted(index: Index, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _post(index: Index):
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
+            for at in range(0, len(batch), STEP):
+                part = batch.iloc[at : at + STEP]
                 posted, where = _posted(index, index.lifted(part["vec"].to_list()))
                 r, c = np.nonzero(posted)
                 yield part.iloc[r].assign(list=where[r, c])
@@ -168,8 +171,8 @@ def _post(index: Index):
 def _probe(index: Index, everywhere: bool):
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
+            for at in range(0, len(batch), STEP):
+                part = batch.iloc[at : at + STEP]
                 if everywhere:
                     lists = [np.arange(len(index.centers))] * len(part)
                 else:
