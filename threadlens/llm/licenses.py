@@ -1,10 +1,10 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, and each sentence is normalised: A-Z lower-cased, every run
-of other characters than a-z and 0-9 one blank. Normalised sentences that belong to a
-known license text become identifiers. Ordered rules then match runs of identifiers, more
-specific ones first, and use up what they match; what no rule uses is reported as
-unmatched. Everything happens within a row: no shuffle, whatever a document's length.
+A text is cut into lines, and each line is normalised: A-Z lower-cased, every run of other
+characters than a-z and 0-9 one blank. Sentences, on one line or wrapped over several, that
+belong to a known license text become identifiers. Ordered rules then match runs of
+identifiers, more specific ones first, and use up what they match; what no rule uses is
+reported as unmatched. Everything happens within a row: no shuffle, whatever a document's length.
 """
 
 from __future__ import annotations
@@ -108,25 +108,63 @@ RULES = [
     ("Copyright-notice", "COPYRIGHT"),
 ]
 
-# Every pattern above needs one of these in the normalised sentence.
+# Every pattern above needs one of these in the normalised sentence, wrapped or not.
 CUES = (
     r"licen[sc]|copyright|rights reserved|permission|redistribut|free software|warrant"
     r"|neither the name|be liable|as is|public domain|dedicated|released|available|distributed"
 )
 BREAK = r"([.;:!?])[\x20\x09-\x0D]+"
 OTHER = r"[^a-z0-9]+"
-
-
-def normalised_sentences(text: Column) -> Column:
-    """The sentences of a text, normalised, those without any letter or digit too."""
-    lines = F.split(F.regexp_replace(ascii_lower(text), BREAK, "$1\n"), "\n", -1)
-    return F.transform(lines, lambda s: F.btrim(F.regexp_replace(s, OTHER, " ")))
+KNOWN = "array<struct<place:int,id:string>>"
+
+
+def _within(pattern: str) -> str:
+    """A pattern over the lines of ``marked_lines``: its blanks may be line breaks."""
+    head, rest = ("(.* )?", pattern[6:]) if pattern.startswith("(.* )?") else ("", pattern)
+    rest = rest.replace(".* ", "<more> ").replace(".", r"[^.\n]").replace("<more>", "[^.]*")
+    return head.replace(".", r"[^.\n]") + rest.replace(" ", r"[ \n]")
+
+
+def known_patterns() -> list[tuple[str, str]]:
+    """Names and patterns of sentences that may go over several lines."""
+    return [(name, _within(pattern)) for name, pattern in SENTENCES]
+
+
+def marked_lines(text: Column) -> Column:
+    """A text as normalised lines that are cut at BREAK too. A point ends the last line of
+    a sentence. Lines without any letter or digit, as between paragraphs, are left out."""
+    text = ascii_lower(text)  # capitals are marks from here on
+    for pattern, new in (
+        (BREAK, "H"),
+        (r"\n", "S"),
+        (r"[^a-z0-9HS]+", " "),
+        (r" ?(?:S ?[SH]|H)[ HS]*", ".\n"),
+        (r" ?S ?", "\n"),
+    ):
+        text = F.regexp_replace(text, pattern, new)
+    return F.btrim(text)
+
+
+def known_sentences(text: Column) -> Column:
+    """Place and identifier of the known sentences, in order. At the start of a line the
+    first pattern that fits takes its lines; the next sentence starts after them."""
+    whole = "|".join(f"(?:{pattern})" for _, pattern in known_patterns())
+    found = F.regexp_replace(marked_lines(text), rf"(?dm)^(?:{whole})(?=\.?$)", "M$0E")
+    joined = F.regexp_replace(found, r"(\G(?!^)|M)([^\nE]*)\n", "$1$2L")
+    places = F.transform(
+        F.split(joined, "\n", -1),
+        lambda s, i: F.when(
+            F.startswith(s, F.lit("M")),
+            F.struct(i.alias("place"), sentence_id(F.translate(s, "LME.", "\n")).alias("id")),
+        ),
+    )
+    return F.filter(places, lambda p: p.isNotNull())
 
 
 def sentence_id(sentence: Column) -> Column:
-    """The identifier of a normalised sentence, or null."""
-    out = F.when(~sentence.rlike(CUES), F.lit(None).cast("string"))
-    for name, pattern in SENTENCES:
+    """The identifier of a known sentence."""
+    out = F.when(sentence.isNull(), F.lit(None).cast("string"))
+    for name, pattern in known_patterns():
         out = out.when(sentence.rlike(f"^(?:{pattern})$"), F.lit(name))
     return out
 
@@ -140,18 +178,12 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     has no sentence. An SPDX tag is reported as unmatched: it names its license itself."""
     # Most texts have no cue at all; they are not cut into sentences.
     some = F.coalesce(ascii_lower(F.col("__text")).rlike(CUES.replace(" ", "[^a-z0-9]+")), F.lit(False))
-    places = F.transform(
-        "__sentences", lambda s, i: F.struct(i.alias("place"), sentence_id(s).alias("id"))
-    )
-    known = F.filter(places, lambda p: p["id"].isNotNull())
     none = F.array().cast("array<string>")
+    known = known_sentences(F.col("__text"))
     ids = F.transform("sentences", lambda p: F.concat(F.lit(","), p["id"], F.lit(",")))
     found = (
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-        .withColumn(
-            "__sentences", F.when(some, normalised_sentences(F.col("__text"))).otherwise(none)
-        )
-        .withColumn("sentences", known)
+        .withColumn("sentences", F.when(some, known).otherwise(F.array().cast(KNOWN)))
         .withColumn("__run", F.array_join(ids, ""))
         .withColumn("__end", F.when(F.col("__run") != "", _matched(F.col("__run"))))
     )
