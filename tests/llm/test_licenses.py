@@ -133,3 +133,19 @@ def test_places_are_in_order(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
     (row,) = scan_licenses(docs).collect()
     assert [(s.place, s.id) for s in row.sentences] == [(1, "APACHE2_COMPLY"), (3, "ALL_RIGHTS")]
+
+
+def test_spdx_tags_name_their_licenses(spark):
+    rows = [
+        ("// SPDX-License-Identifier: Apache-2.0\nint x;", ["Apache-2.0"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT */", ["GPL-2.0", "MIT"]),
+        ("# spdx-license-identifier: mit and (BSD-3-Clause or LGPL-2.1+)", ["BSD-3-Clause", "LGPL", "MIT"]),
+        ("SPDX-License-Identifier: MIT, see LICENSE\nSPDX-License-Identifier:GPL-3.0-or-later", ["GPL-3.0", "MIT"]),
+        ("<!-- SPDX-License-Identifier: CC-BY-NC-SA-4.0-->", ["CC-BY-NC-SA"]),
+        ("SPDX-License-Identifier: Zlib OR LicenseRef-Own OR Zlib", ["LicenseRef-Own", "Zlib"]),
+        ("SPDX-License-Identifier: MIT\nAND more", ["MIT"]), ("SPDX-License-Identifier:\nMIT", []),
+        ("Released under the MIT License.", []), ("", []), (None, []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id int, text string")
+    got = sorted((r.doc_id, list(r.tagged)) for r in scan_licenses(docs).collect())
+    assert got == [(i, want) for i, (_, want) in enumerate(rows)]

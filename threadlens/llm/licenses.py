@@ -115,6 +115,30 @@ CUES = (
 )
 BREAK = r"([.;:!?])[\x20\x09-\x0D]+"
 OTHER = r"[^a-z0-9]+"
+# An SPDX tag and its expression.
+_ID = r"(?:\([ \t]*)*[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?(?:[ \t]*\))*"
+SPDX = rf"(?i)SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)"
+# SPDX identifiers, lower-cased, and the name that RULES has for them.
+SPDX_NAMES = [
+    (r"apache-2\.0", "Apache-2.0"),
+    (r"mit", "MIT"),
+    (r"isc", "ISC"),
+    (r"bsd-2-clause", "BSD-2-Clause"),
+    (r"bsd-3-clause", "BSD-3-Clause"),
+    (r"agpl-3\.0(-only|-or-later|\+)?", "AGPL-3.0"),
+    (r"lgpl-(2\.0|2\.1|3\.0)(-only|-or-later|\+)?", "LGPL"),
+    (r"gpl-3\.0(-only|-or-later|\+)?", "GPL-3.0"),
+    (r"gpl-2\.0(-only|-or-later|\+)?", "GPL-2.0"),
+    (r"mpl-2\.0", "MPL-2.0"),
+    (r"cc0-1\.0", "CC0-1.0"),
+    (r"cc-by-nc-sa-[0-9.]+", "CC-BY-NC-SA"),
+    (r"cc-by-nc-nd-[0-9.]+", "CC-BY-NC-ND"),
+    (r"cc-by-nc-[0-9.]+", "CC-BY-NC"),
+    (r"cc-by-sa-[0-9.]+", "CC-BY-SA"),
+    (r"cc-by-nd-[0-9.]+", "CC-BY-ND"),
+    (r"cc-by-[0-9.]+", "CC-BY"),
+    (r"unlicense", "Unlicense"),
+]
 KNOWN = "array<struct<place:int,id:string>>"
 
 
@@ -169,13 +193,33 @@ def sentence_id(sentence: Column) -> Column:
     return out
 
 
+def spdx_name(spdx: Column) -> Column:
+    """The name in RULES of an SPDX identifier, or the identifier as written."""
+    out = F.when(spdx.isNull(), spdx)
+    for pattern, name in SPDX_NAMES:
+        out = out.when(ascii_lower(spdx).rlike(f"^(?:{pattern})$"), F.lit(name))
+    return out.otherwise(spdx)
+
+
+def tagged_licenses(text: Column) -> Column:
+    """The licenses that SPDX tags name, sorted, distinct: those joined by AND or OR each,
+    an exception after WITH not."""
+    expressions = F.array_join(F.regexp_extract_all(text, F.lit(SPDX)), " OR ")
+    bare = F.regexp_replace(expressions, r"(?i)[ \t]+WITH[ \t]+[^ \t()]+", "")
+    parts = F.split(F.regexp_replace(bare, r"[()]", " "), r"(?i)[ \t]+(?:AND|OR)[ \t]+")
+    ids = F.filter(F.transform(parts, lambda p: F.btrim(p, F.lit(" \t"))), lambda p: p != "")
+    return F.sort_array(F.array_distinct(F.transform(ids, spdx_name)))
+
+
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: doc_id, ``sentences`` (place and identifier of the
-    known ones, in order), ``licenses`` (sorted, distinct) and ``unmatched`` (the
-    identifiers that no rule used, in order).
+    known ones, in order), ``licenses`` (sorted, distinct), ``unmatched`` (the identifiers
+    that no rule used, in order) and ``tagged`` (the licenses that SPDX tags name, sorted,
+    distinct).
 
     The same sentence twice counts twice in ``sentences``. A null, empty or blank text
-    has no sentence. An SPDX tag is reported as unmatched: it names its license itself."""
+    has no sentence. No rule uses an SPDX tag: it stands in ``unmatched``, and what it
+    names in ``tagged``."""
     # Most texts have no cue at all; they are not cut into sentences.
     some = F.coalesce(ascii_lower(F.col("__text")).rlike(CUES.replace(" ", "[^a-z0-9]+")), F.lit(False))
     none = F.array().cast("array<string>")
@@ -184,6 +228,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     found = (
         docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
         .withColumn("sentences", F.when(some, known).otherwise(F.array().cast(KNOWN)))
+        .withColumn("tagged", F.when(some, tagged_licenses(F.col("__text"))).otherwise(none))
         .withColumn("__run", F.array_join(ids, ""))
         .withColumn("__end", F.when(F.col("__run") != "", _matched(F.col("__run"))))
     )
@@ -191,7 +236,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     names = F.coalesce("__end.licenses", none)
     return found.select(
         "doc_id", "sentences", F.sort_array(F.array_distinct(names)).alias("licenses"),
-        left.alias("unmatched"),
+        left.alias("unmatched"), "tagged",
     )
 
 
