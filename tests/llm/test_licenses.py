@@ -1,7 +1,7 @@
 """License scans of whole notices as they stand in files, with hand-written results."""
 
 import pytest
-from threadlens.llm.licenses import scan_licenses
+from threadlens.llm.licenses import RULES, scan_licenses
 
 MIT = """MIT License
 
@@ -149,3 +149,104 @@ def test_spdx_tags_name_their_licenses(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id int, text string")
     got = sorted((r.doc_id, list(r.tagged)) for r in scan_licenses(docs).collect())
     assert got == [(i, want) for i, (_, want) in enumerate(rows)]
+
+
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.
+"""
+LGPL21 = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+MPL2 = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+NOTICES = [
+    (GPL2, ["GPL-2.0"]), (GPL2.replace("version 2", "version 3"), ["GPL-3.0"]), (LGPL21, ["LGPL"]),
+    (MPL2, ["MPL-2.0"]), (" ".join(MPL2.split()), ["MPL-2.0"]), (" ".join(GPL2.split()), ["GPL-2.0"]),
+    (ISC.replace("and/or", "and"), ["Copyright-notice", "ISC"]),
+    (BSD_END.replace("THE COPYRIGHT HOLDERS", "FOO, INC."), []),
+    ("Released under the MIT License, see LICENSE.", ["MIT"]),
+    ("Licensed under an MIT licence; see the file COPYING.", ["MIT"]),
+    ("It is distributed\nunder the terms of the MIT License (see LICENSE\nfor details).", ["MIT"]),
+    ("Licensed under the BSD 3-Clause License.", ["BSD"]),
+    ("Available under a two-clause BSD license that can be found in LICENSE.", ["BSD"]),
+    ("Licensed under the Apache-2.0 license.", ["Apache-2.0"]),
+    ("Licensed under the Apache License, Version 2.0, see NOTICE.", ["Apache-2.0"]),
+    ("Licensed under the GNU General Public License v. 3.0 as in COPYING.", ["GPL-3.0"]),
+    ("Licensed under the GNU General Public License version 2, see COPYING.", ["GPL-2.0"]),
+    ("Released under MIT supervision. Available under the Apache tents.", []),
+]
+
+
+def test_standard_notices(spark):
+    assert [x for x, _ in scanned(spark, [text for text, _ in NOTICES])] == [x for _, x in NOTICES]
+
+
+UNDER = "This work is licensed under "
+GRANT = "you can redistribute it and/or modify\nit under the terms of the GNU {} as published by\nthe Free Software Foundation; either version {} of the License, or later."
+SAID = {
+    "APACHE2_REF": 'Licensed under the Apache License, Version 2.0 (the "License");',
+    "APACHE2_COMPLY": "you may not use this file except in compliance with the License.",
+    "APACHE2_COPY": "You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0\n",
+    "APACHE2_AS_IS": APACHE[APACHE.index("Unless") : APACHE.index("See the")],
+    "APACHE2_SEE": APACHE[APACHE.index("See the") :],
+    "MIT_REF": UNDER + "the MIT License, see LICENSE.",
+    "MIT_GRANT": MIT[MIT.index("Permission") : MIT.index("The above")],
+    "MIT_NOTICE": MIT[MIT.index("The above") : MIT.index("THE SOFT")],
+    "MIT_AS_IS": MIT[MIT.index("THE SOFT") : MIT.index("IN NO EV")],
+    "MIT_LIABILITY": MIT[MIT.index("IN NO EV") :],
+    "ISC_GRANT": ISC[ISC.index("Permission") : ISC.index("THE SOFT")],
+    "ISC_AS_IS": ISC[ISC.index("THE SOFT") :],
+    "BSD_REF": UNDER + "the BSD 3-Clause License.",
+    "BSD_GRANT": BSD[BSD.index("Redistribution and") : BSD.index("1.")],
+    "BSD_SOURCE": BSD[BSD.index("1.") : BSD.index("2. ")],
+    "BSD_BINARY": BSD[BSD.index("2. ") :],
+    "BSD_NAMES": NAMES,
+    "BSD_AS_IS": BSD_END[: BSD_END.index("IN NO EV")],
+    "BSD_LIABILITY": BSD_END[BSD_END.index("IN NO EV") :],
+    "GPL_FREE": "This program is free software;",
+    "AGPL3_GRANT": GRANT.format("Affero General Public License", 3),
+    "LGPL_GRANT": GRANT.format("Lesser General Public License", 2.1),
+    "GPL3_GRANT": GRANT.format("General Public License", 3),
+    "GPL2_GRANT": GRANT.format("General Public License", 2),
+    "GPL_HOPE": GPL2[GPL2.index("This program is dis") : GPL2.index("See the")],
+    "GPL_MORE": GPL2[GPL2.index("See the") : GPL2.index("You should")],
+    "GPL_COPY": GPL2[GPL2.index("You should") :],
+    "AGPL3_REF": UNDER + "the GNU Affero General Public License, v. 3.0.",
+    "LGPL_REF": UNDER + "the GNU Lesser General Public License, version 2.1.",
+    "GPL3_REF": UNDER + "the GNU General Public License, v. 3.0, see COPYING.",
+    "GPL2_REF": UNDER + "the GNU General Public License, version 2, see COPYING.",
+    "MPL2_FORM": MPL2[: MPL2.index("If a")],
+    "MPL2_COPY": MPL2[MPL2.index("If a") :],
+    "CC0_REF": UNDER + "CC0 1.0 Universal.",
+    "CC_BY_NC_SA_REF": UNDER + "a Creative Commons\nAttribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC_BY_NC_ND_REF": UNDER + "CC BY-NC-ND 4.0.",
+    "CC_BY_NC_REF": UNDER + "a Creative Commons Attribution-NonCommercial 4.0\nInternational License.",
+    "CC_BY_SA_REF": UNDER + "a Creative Commons Attribution-ShareAlike\n4.0 International License.",
+    "CC_BY_ND_REF": UNDER + "a Creative Commons Attribution-NoDerivatives 4.0 License.",
+    "CC_BY_REF": UNDER + "a Creative Commons Attribution 4.0 International License.",
+    "UNLICENSE": "This is free and unencumbered software released into the public\ndomain.",
+    "PUBLIC_DOMAIN": "This file has been placed in the public domain. It is in the public domain.",
+    "COPYRIGHT": "Copyright (c) 2020 Jane Doe\n",
+    "ALL_RIGHTS": "All rights reserved.",
+}
+
+
+def test_each_rule_is_reached(spark):
+    texts = ["\n".join(SAID[i].rstrip("\n") for i in ids.split()) for _, ids in RULES]
+    got = scanned(spark, texts)
+    assert [(ids, x) for (_, ids), x in zip(RULES, got)] == [(ids, ([n], [])) for n, ids in RULES]

@@ -64,6 +64,16 @@ SENTENCES = [
     ("PUBLIC_DOMAIN", r"(.* )?(is|placed|released) (in|into) the public domain"),
 ]
 
+# Other forms of the sentences above.
+_UNDER = r"(.* )?(licensed|released|distributed|available) under( the| an?)?( terms of( the)?)? "
+MORE_FORMS = [
+    ("APACHE2_REF", _UNDER + r"apache (software )?(license )?(version )?(v ?)?2( 0)?"),
+    ("MIT_REF", _UNDER + r"mit( x11| expat)? licen[sc]e"),
+    ("ISC_GRANT", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted.*"),
+    ("BSD_REF", _UNDER + r"((2|two|3|three) clause |new |simplified |modified )?bsd( (2|two|3|three) clause)? licen[sc]e"),
+    ("MPL2_FORM", r"this source code form is subject to the terms of the mozilla public license version 2 0"),
+]
+
 # Ordered rules, license and the run of identifiers that tells it.
 RULES = [
     ("Apache-2.0", "APACHE2_REF APACHE2_COMPLY APACHE2_COPY APACHE2_AS_IS APACHE2_SEE"),
@@ -115,6 +125,8 @@ CUES = (
 )
 BREAK = r"([.;:!?])[\x20\x09-\x0D]+"
 OTHER = r"[^a-z0-9]+"
+# The points of these words end no sentence.
+GOES_ON = r"(?<![^a-z0-9](?:v|inc|ltd|corp|co))"
 # An SPDX tag and its expression.
 _ID = r"(?:\([ \t]*)*[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?(?:[ \t]*\))*"
 SPDX = rf"(?i)SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)"
@@ -150,16 +162,25 @@ def _within(pattern: str) -> str:
 
 
 def known_patterns() -> list[tuple[str, str]]:
-    """Names and patterns of sentences that may go over several lines."""
-    return [(name, _within(pattern)) for name, pattern in SENTENCES]
+    """Names and patterns of sentences that may go over several lines. A sentence that
+    refers to a license may go on after the license's name; the first one named counts."""
+    out = []
+    for name, pattern in SENTENCES:
+        forms = [pattern, *(p for n, p in MORE_FORMS if n == name)]
+        whole = "|".join(f"(?:{_within(p)})" for p in forms)
+        out.append((name, rf"(?:{whole})(?: [^.\n]*)?" if name.endswith("_REF") else whole))
+    return out
 
 
 def marked_lines(text: Column) -> Column:
     """A text as normalised lines that are cut at BREAK too. A point ends the last line of
-    a sentence. Lines without any letter or digit, as between paragraphs, are left out."""
+    a sentence; a semicolon, a colon and the point of an abbreviation do not end it. Lines
+    without any letter or digit, as between paragraphs, are left out."""
     text = ascii_lower(text)  # capitals are marks from here on
+    blank = r"[\x20\x09-\x0D]"
     for pattern, new in (
-        (BREAK, "H"),
+        (rf"(?:{GOES_ON}\.|[!?]){blank}+", "H"),
+        (rf"[.;:](?:[\x20\t\x0B-\x0D]*\n|{blank})", "S"),
         (r"\n", "S"),
         (r"[^a-z0-9HS]+", " "),
         (r" ?(?:S ?[SH]|H)[ HS]*", ".\n"),
