@@ -202,28 +202,43 @@ def _calibrated(model: SubwordModel, docs: list, labels: np.ndarray) -> SubwordM
     return SubwordModel(model.weights * scale, float(beta[1] - scale * center))
 
 
+def within_budget(texts: list[tuple[int, int, int]], chars: int) -> list[tuple[int, int]]:
+    """Hash and label of the texts, from (hash, label, size) in order, that fit: each class
+    into its half of ``chars``, then the others into what is left."""
+    left, taken = {0: chars // 2, 1: chars // 2}, set()
+    for h, label, size in texts:
+        if size <= left[label]:
+            left[label] -= size
+            taken.add((h, label))
+    rest = chars - 2 * (chars // 2) + sum(left.values())
+    for h, label, size in texts:
+        if (h, label) not in taken and size <= rest:
+            rest -= size
+            taken.add((h, label))
+    return sorted(taken)
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAINING_ROWS,
     chars: int = TRAINING_CHARS, **options,
 ) -> SubwordModel:
     """Fit on about ``rows`` labelled documents (never over twice as many), half of each
     class where there are enough, equal texts once, taken in hash order up to ``chars``
-    characters; a longer document is passed over. Leave held-out labels out of ``labels``."""
+    characters. Half of them are for each class, what is left for the rest; a document that
+    does not fit is passed over. Leave held-out labels out of ``labels``."""
     sample = labelled_rows(docs, labels, label, rows, by_class=True)
     size = F.coalesce(F.char_length("text"), F.lit(0))
     ordered = cut_lineage(
         sample.withColumn("size", size).where(F.col("size") <= chars)
         .withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "label"])
     )
-    total, last = 0, None
-    for r in ordered.select("h", "label", "size").orderBy("h", "label").limit(2 * rows).collect():
-        if total + r["size"] > chars:
-            break
-        total, last = total + r["size"], (r["h"], r["label"])
-    if last is None:
+    keys = ordered.select("h", "label", "size").orderBy("h", "label").limit(2 * rows).collect()
+    taken = within_budget([tuple(r) for r in keys], chars)
+    if not taken:
         return fit_subwords([], np.empty(0), **options)
-    first = (F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("label") <= last[1]))
-    got = sorted((r["h"], r["label"], r["text"]) for r in ordered.where(first).collect())
+    chosen = docs.sparkSession.createDataFrame(taken, "h long, label int")
+    kept = ordered.join(F.broadcast(chosen), ["h", "label"], "left_semi")
+    got = sorted((r["h"], r["label"], r["text"]) for r in kept.collect())
     return fit_subwords([t for *_, t in got], np.array([m for _, m, _ in got]), **options)
 
 
