@@ -31,6 +31,7 @@ TRAINING_ROWS, MAX_LISTS, SUBSPACES, CODEWORDS = 20_000, 1_024, 8, 64
 BLOCK = 1_024
 PIECE = "cls long, rep long, links long, root long"
 _SLACK = 1e-6  # for rounding: only makes candidates of more pairs
+_SLICE = 1 << 20  # numbers of one side that are multiplied at a time
 
 
 @dataclass
@@ -94,6 +95,11 @@ def _deal(book: Codebook, radius: float):
     return deal
 
 
+def exact_cosines(a, b, na, nb, i, j) -> np.ndarray:
+    """Cosines of the rows ``i`` of ``a`` with the rows ``j`` of ``b``, pair by pair."""
+    return np.einsum("ij,ij->i", a[i], b[j]) / (na[i] * nb[j])
+
+
 def _compare(book: Codebook, cosine: float, radius: float):
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         asks = frame["asks"].to_numpy(bool)
@@ -105,10 +111,13 @@ def _compare(book: Codebook, cosine: float, radius: float):
         center = book.centers[int(frame["list"].iat[0])]
         codes, err = book.encode(b / nb[:, None] - center)
         near = book.distances(a / na[:, None] - center, codes) - err <= radius + _SLACK
-        exact = (a @ b.T) / (na[:, None] * nb[None, :])
         ids_q, ids_s = q["rep"].to_numpy(), s["rep"].to_numpy()
         others = q["cls"].to_numpy()[:, None] != s["cls"].to_numpy()[None, :]
-        linked = near & (exact >= cosine) & others
+        linked = np.zeros(near.shape, dtype=bool)
+        rows, cols = np.nonzero(near & others)
+        for at in range(0, len(rows), step := max(1, _SLICE // book.width)):
+            i, j = rows[at : at + step], cols[at : at + step]
+            linked[i, j] = exact_cosines(a, b, na, nb, i, j) >= cosine
         links = linked @ s["n"].to_numpy(np.int64)
         root_q, root_s = ids_q.copy(), ids_s.copy()
         rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
