@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from threadlens.llm import sql
 from threadlens.llm.common import word_count
+from threadlens.llm.divergence import source_divergence
+from threadlens.llm.hard_negatives import mine_hard_negatives, whole_vectors
 from threadlens.llm.labelled import id_remainder
 from threadlens.llm.licenses import scan_licenses
 from threadlens.llm.line_dedup import dedup_lines
@@ -20,6 +22,7 @@ from threadlens.llm.packing import pack_pieces, token_pieces
 from threadlens.llm.quality import fit_quality, quality_score
 from threadlens.llm.token_counts import count_tokens
 from threadlens.llm.toxicity import fit_toxicity, toxicity_score
+from threadlens.llm.url_filter import filter_urls, parse_rules
 from threadlens.llm.vector_dedup import near_vectors
 from threadlens.llm.vector_search import search_vectors
 
@@ -101,6 +104,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"), min_docs=10, top_terms=10)
+
+
+URL_RULES = (
+    "allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/",
+    "block com/de/",
+)
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, parse_rules(spark, URL_RULES)).drop("url")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    rows = whole_vectors(vectors, scale=256)
+    return mine_hard_negatives(
+        rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_vector_search": op2_vector_search,
@@ -112,6 +139,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_url_filters": op12_url_filters,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -120,4 +150,7 @@ ORACLES: dict[str, str] = {
     "op6_minhash_dedup": sql.NEAR_DUPLICATES,
     "op8_mixing": sql.MIXING,
     "op9_vector_dedup": sql.VECTOR_DEDUP,
+    "op11_source_divergence": sql.SOURCE_DIVERGENCE,
+    "op12_url_filters": sql.URL_FILTERS,
+    "op13_hard_negatives": sql.HARD_NEGATIVES,
 }

@@ -122,6 +122,94 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id,
 FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
+# Divergences of sources: every group with every kept term and every peer.
+SOURCE_DIVERGENCE = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words,
+         row_number() OVER () AS row
+  FROM documents),
+w AS (SELECT row, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n
+  FROM g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) n
+    ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (n + 2))
+         // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p
+  FROM c),
+l AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2))
+         // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+    GROUP BY ALL) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (
+  SELECT p.lang, p.source, p.term AS item, ((p.p - l.q) * (p.p - l.q) // (p.p + l.q))::BIGINT AS value
+  FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE p.n > 0 AND p.p > l.q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+URL_FILTERS = rf"""
+WITH u AS (
+  SELECT page_id, url,
+         CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
+         regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path,
+         row_number() OVER () AS row
+  FROM u),
+r(action, rhost, rpath) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+best AS (
+  SELECT h.row, arg_max(struct_pack(rule := rhost || rpath, action := action), length(rhost || rpath)) AS b
+  FROM h JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY h.row)
+SELECT h.page_id, h.host, h.path, best.b.rule AS rule, coalesce(best.b.action, 'allow') AS verdict
+FROM h LEFT JOIN best ON best.row = h.row
+"""
+
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS row,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, c.row, c.vec_id, a.label = c.label AS same,
+         list_dot_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.row <> c.row WHERE a.vec_id % 50 = 0),
+pos AS (
+  SELECT * FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id, n.row)::INTEGER AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM pos p JOIN s n ON n.anchor = p.anchor AND NOT n.same
+  AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id, n.row) <= 3
+"""
+
 
 def license_scan() -> str:
     """The rules one after the other, as nested queries."""
