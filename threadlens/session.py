@@ -49,17 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
 _open = threading.local()  # the scratch folders of the running thread
 
 
-def run_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the shared folder, or below the thread's scratch folder."""
-    base = getattr(_open, "folders", None) or [f"{shared_dir(spark)}/threadlens"]
-    return f"{base[-1]}/{purpose}-{uuid.uuid4().hex}"
+def run_dir(spark: SparkSession, purpose: str, outer: bool = False) -> str:
+    """A fresh path below the shared folder, or below the thread's scratch folder;
+    ``outer`` asks for one that outlives the innermost scratch folder."""
+    bases = [f"{shared_dir(spark)}/threadlens", *getattr(_open, "folders", [])]
+    base = bases[-2] if outer and len(bases) > 1 else bases[-1]
+    return f"{base}/{purpose}-{uuid.uuid4().hex}"
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """Tables that ``cut_lineage`` writes inside the block are deleted at its end.
 
-    Nothing that is read later may depend on them: write the result within the block."""
+    Nothing that is read later may depend on them: write the result within the block, by
+    ``cut_lineage(result, outer=True)`` for instance."""
     path = run_dir(spark, "scratch")
     _open.folders = [*getattr(_open, "folders", []), path]
     try:
@@ -70,12 +73,13 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut_lineage(df):
+def cut_lineage(df, outer: bool = False):
     """Materialise ``df`` as a table in the shared folder and read it back.
 
     Used where a result feeds several jobs (iterative model fits, two-pass
-    sampling). Unlike executor-local blocks the files survive lost executors."""
+    sampling). Unlike executor-local blocks the files survive lost executors. With
+    ``outer`` the table outlives the innermost ``scratch`` block."""
     spark = df.sparkSession
-    path = run_dir(spark, "table")
+    path = run_dir(spark, "table", outer)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
