@@ -10,6 +10,7 @@ from threadlens.llm import near_dedup
 from threadlens.llm.graph import components
 from threadlens.llm.near_dedup import near_duplicates
 from threadlens.llm.superminhash import band_keys, shingle_set, signatures
+from threadlens.session import cut_lineage
 
 
 def plain_sets(text, words):
@@ -65,24 +66,58 @@ def test_groups_match_brute_force(spark, words):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
-def test_bucket_with_several_groups_is_finished(spark, monkeypatch):
-    """All classes in one bucket: the rounds after the first must find every link."""
-    monkeypatch.setattr(near_dedup, "REACH", 2)
-    docs = near_copies(seed=3, groups=6, members=6)
+def one_bucket(spark, docs):
+    """All classes in one bucket, compared with its first one."""
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    source = df.select("doc_id", "text")
-    sets = source.mapInPandas(near_dedup._full_sets(2), "doc_id long, n long, set array<long>").cache()
+    sets = cut_lineage(df.mapInPandas(near_dedup._full_sets(2), "doc_id long, n long, set array<long>"))
     buckets = df.select(F.lit(1).cast("long").alias("key"), F.col("doc_id").alias("rep"))
     first = min(i for i, _ in docs)
     pairs = buckets.where(F.col("rep") != first).select(F.lit(first).alias("a"), F.col("rep").alias("b"))
     links = near_dedup._confirmed(pairs, sets, 80)
-    keys = buckets.select(F.col("rep").alias("krep"), F.array("key").alias("keys"))
-    found = near_dedup._remaining(buckets, keys, components(links), pairs, sets, 80).collect()
-    group = {r.node: r.component for r in found}
+    known = components(links).withColumnRenamed("node", "n")
+    groups = buckets.select(F.col("rep").alias("node")).join(known, F.col("node") == F.col("n"), "left")
+    groups = cut_lineage(groups.select("node", F.coalesce("component", "node").alias("component")))
+    return buckets, groups, sets
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_bucket_with_several_groups_is_finished(spark, seed):
+    """One pass over the differences must find every link between groups."""
+    docs = near_copies(seed=seed, groups=6, members=6)
+    buckets, groups, sets = one_bucket(spark, docs)
+    links = near_dedup._remaining(buckets, groups, sets, 80)
+    group = {r.node: r.component for r in near_dedup._merged(groups, links).collect()}
     want = expected(docs, 2, 80)
     assert {i: group.get(i, i) for i, _ in docs} == {i: c for i, (_, c) in want.items()}
 
 
+def test_a_large_group_makes_few_pairs(spark, monkeypatch):
+    """300 near copies of one text, of which many are linked with none: their pairs are
+    neither made nor compared, and no link is lost."""
+    pick = random.Random(6)
+    base = [f"w{i}" for i in range(140)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 300):
+        words = list(base)
+        for at in pick.sample(range(140), pick.choice([2, 4, 5, 7, 9, 12, 16])):
+            words[at] = f"x{i}-{at}" if pick.random() < 0.9 else "common"
+        docs.append((i, " ".join(words)))
+    buckets, groups, sets = one_bucket(spark, docs)
+    compared, confirmed = [], near_dedup._confirmed
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", counted)
+    links = near_dedup._remaining(buckets, groups, sets, 80)
+    group = {r.node: r.component for r in near_dedup._merged(groups, links).collect()}
+    want = {i: c for i, (_, c) in expected(docs, 2, 80).items()}
+    alone = [i for i, c in want.items() if i == c]
+    assert group == want and 60 < len(alone) < 250
+    assert sum(compared) < 2 * len(docs) < len(alone) * 100
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     other = " ".join(f"v{i}" for i in range(60))

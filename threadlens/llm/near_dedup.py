@@ -6,11 +6,14 @@ With 40 bands of 6 registers a pair of similarity 0.8 misses all bands with a ch
 5e-6, more similar ones with less; a pair of similarity 0.3 meets with a chance of 3 %.
 
 A bucket is not expanded into its pairs. Its smallest class is compared with the others,
-and confirmed links are grouped. Only buckets that still hold more than one group go on:
-the classes outside the largest group are compared with classes of other groups, near
-ranks first, until each bucket has one group or all its pairs of different groups have
-been compared. So no link between groups is lost, and a large group of near copies costs
-a few comparisons per member and band.
+and confirmed links are grouped. Buckets that still hold more than one group form cells,
+one per largest group of a bucket. In a cell every class is described by what it differs
+in from one class of that group, the reference. Two classes are similar enough exactly if
+their differences share a certain number of shingles, which follows from the sizes alone,
+so a prefix of each difference, rarest shingles first, is enough to find all pairs that
+can be linked (prefix and position filter). What near copies have in common is in no
+difference: a large group of near copies costs its differences, and a class that can be
+linked with nothing makes no pairs. No link between groups is lost.
 """
 
 from __future__ import annotations
@@ -21,15 +24,14 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import running_total
 from threadlens.llm.graph import components
 from threadlens.llm.superminhash import band_keys, shingle_set, signatures
-from threadlens.session import cut_lineage
+from threadlens.session import cut_lineage, scratch
 
 BANDS, ROWS = 40, 6
-REACH, WIDER = 4, 4
 SLICE_SHINGLES = 60_000  # shingles whose signatures a task computes at a time
 
 
@@ -109,17 +111,24 @@ def near_duplicates(
     if bands * rows > 256:
         raise ValueError("a signature has at most 256 registers")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = cut_lineage(
-        source.mapInPandas(
-            _sketches(words, bands, rows),
-            "doc_id long, n_shingles long, set_hash binary, keys array<long>",
+    with scratch(docs.sparkSession):
+        sketches = cut_lineage(
+            source.mapInPandas(
+                _sketches(words, bands, rows),
+                "doc_id long, n_shingles long, set_hash binary, keys array<long>",
+            )
         )
-    )
-    real = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = cut_lineage(
-        real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-        .select(F.col("set_hash").alias("hash"), "rep")
-    )
+        real = sketches.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+        classes = cut_lineage(
+            real.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
+            .select(F.col("set_hash").alias("hash"), "rep")
+        )
+        found = _groups(source, real, classes, words, percent)
+        return cut_lineage(_grouped(sketches, classes, found), outer=True)
+
+
+def _groups(source, real, classes, words: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that share a bucket with another one."""
     # A document of the class's smallest id may repeat; it is the same class.
     reps = real.join(
         classes, (F.col("doc_id") == F.col("rep")) & (F.col("set_hash") == F.col("hash")),
@@ -130,25 +139,29 @@ def near_duplicates(
     shared = cut_lineage(
         counted.where(F.col("n") > 1).select(F.col("key").alias("bucket"), "first")
     )
-    buckets = cut_lineage(entries.join(shared, F.col("key") == F.col("bucket")))
-    pairs = cut_lineage(
-        buckets.where(F.col("rep") != F.col("first"))
-        .select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    )
+    buckets = cut_lineage(entries.join(shared, F.col("key") == F.col("bucket")).drop("bucket"))
     wanted = buckets.select("rep").distinct()
     sets = cut_lineage(
         source.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")
         .mapInPandas(_full_sets(words), "doc_id long, n long, set array<long>")
     )
-    links = _confirmed(pairs, sets, percent).unionByName(_same_id(real, classes))
-    found = cut_lineage(components(links))
-    # An id whose rows have different texts has the keys of all of them.
-    keys = (
-        reps.select(F.col("doc_id").alias("krep"), "keys").distinct()
-        .groupBy("krep").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
-    )
-    found = _remaining(buckets.select("key", "rep"), keys, found, pairs, sets, percent)
-    return _grouped(sketches, classes, found)
+    with scratch(source.sparkSession):
+        pairs = cut_lineage(
+            buckets.where(F.col("rep") != F.col("first"))
+            .select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+        )
+        links = _confirmed(pairs, sets, percent).unionByName(_same_id(real, classes))
+        known = components(links).withColumnRenamed("node", "n")
+        everyone = buckets.select(F.col("rep").alias("node")).union(links.select("a"))
+        everyone = everyone.union(links.select("b")).distinct()
+        groups = cut_lineage(
+            everyone.join(known, F.col("node") == F.col("n"), "left")
+            .select("node", F.coalesce("component", "node").alias("component")),
+            outer=True,
+        )
+    with scratch(source.sparkSession):
+        links = _remaining(buckets, groups, sets, percent)
+        return _merged(groups, links)
 
 
 def _same_id(real: DataFrame, classes: DataFrame) -> DataFrame:
@@ -166,84 +179,123 @@ def _same_id(real: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _remaining(buckets, keys, found, checked, sets, percent):
-    """Finish the buckets that hold more than one group.
-
-    Classes of a bucket are ranked. Those outside its largest group are compared with the
-    classes up to ``reach`` ranks away, then with those farther off, ``WIDER`` times as
-    far each round, always only with other groups: once a class has joined the largest
-    group it needs no more partners, and pairs within a group are never made. ``keys``
-    holds all band keys of each class, ``found`` is (node, component), ``checked`` the
-    pairs (a < b) that have been compared."""
-    everyone = buckets.select(F.col("rep").alias("node")).unionByName(found.select("node"))
-    known = found.withColumnRenamed("node", "n")
-    groups = cut_lineage(
-        everyone.distinct().join(known, F.col("node") == F.col("n"), "left")
-        .select("node", F.coalesce("component", "node").alias("component"))
-    )
-    ranked, low, high = buckets, 1, REACH
-    while True:
-        rest = cut_lineage(_open_buckets(ranked, groups, low))
-        if rest.isEmpty():
-            return groups
-        if ranked is buckets:
-            one = rest.withColumn("one", F.lit(1))
-            rest = running_total(one, ["rep"], "one", "rank", by=["key"]).drop("one")
-            rest = cut_lineage(rest.join(keys, F.col("rep") == F.col("krep")).drop("krep"))
-        asked = rest.where(F.col("group") != F.col("main")).select(
-            F.col("key").alias("okey"), F.col("rep").alias("orep"), F.col("group").alias("ogroup"),
-            F.col("keys").alias("okeys"), F.explode(_places(low, high)).alias("place"),
-        )
-        # Two classes may share many buckets; the least common key makes their pair once.
-        met = rest.join(
-            asked,
-            (F.col("key") == F.col("okey")) & (F.col("rank") == F.col("place"))
-            & (F.col("group") != F.col("ogroup"))
-            & (F.col("key") == F.array_min(F.array_intersect("keys", "okeys"))),
-        )
-        pairs = met.select(
-            F.least("rep", "orep").alias("a"), F.greatest("rep", "orep").alias("b")
-        ).distinct()
-        done = checked.select(F.col("a").alias("da"), F.col("b").alias("db"))
-        pairs = cut_lineage(
-            pairs.join(done, (F.col("a") == F.col("da")) & (F.col("b") == F.col("db")), "left_anti")
-        )
-        checked = checked.unionByName(pairs)
-        groups = _merged(groups, _confirmed(pairs, sets, percent))
-        ranked = rest.select("key", "rep", "keys", "rank")
-        low, high = high + 1, high * WIDER
-
-
-def _places(low: int, high: int):
-    """The ranks that lie ``low`` to ``high`` before or behind a row in its bucket."""
-    none = F.array().cast("array<bigint>")
-    rank, size = F.col("rank"), F.col("size")
-    behind = F.when(
-        rank + low <= size, F.sequence(rank + low, F.least(rank + high, size))
-    ).otherwise(none)
-    before = F.when(
-        rank - low >= 1, F.sequence(F.greatest(rank - high, F.lit(1).cast("long")), rank - low)
-    ).otherwise(none)
-    return F.concat(before, behind)
-
-
-def _open_buckets(ranked: DataFrame, groups: DataFrame, low: int) -> DataFrame:
-    """Rows of the buckets with several groups and with pairs at least ``low`` ranks apart,
-    with their group, the largest group of the bucket and the bucket's size. The pair of a
-    bucket of two has been compared before."""
-    grouped = ranked.join(groups, F.col("rep") == F.col("node")).drop("node").withColumnRenamed(
-        "component", "group"
+def _cells(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(cell, rep, group) of the buckets with several groups; a cell is named by the
+    largest group of a bucket. The pair of a bucket of two has been compared before."""
+    grouped = buckets.join(groups, F.col("rep") == F.col("node")).select(
+        "key", "rep", F.col("component").alias("group")
     )
     counts = grouped.groupBy("key", "group").agg(F.count("*").alias("n"))
-    wide = (
+    several = (
         counts.groupBy("key").agg(
             F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("groups"),
             F.sum("n").alias("size"),
         )
-        .where((F.col("groups") > 1) & (F.col("size") > max(low, 2)))
-        .select(F.col("key").alias("open"), F.col("most.group").alias("main"), "size")
+        .where((F.col("groups") > 1) & (F.col("size") > 2))
+        .select(F.col("key").alias("open"), F.col("most.group").alias("cell"))
+    )
+    return grouped.join(several, F.col("key") == F.col("open")).select("cell", "rep", "group").distinct()
+
+
+def _differences(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(entry, cell, first, rep, group, d, weight, wide, shingles): each class of a cell by
+    the ``d`` shingles in which it differs from the reference, the ``first`` class of the
+    cell's group.
+
+    Sets of n and m shingles that differ in x of them are linked if
+    (100 + percent) x <= (100 - percent) (n + m). With their differences from the reference
+    that is: they share at least (weight + other weight) / (2 (100 + percent)) shingles,
+    where ``weight`` is (100 + percent) d - (100 - percent) n. The reference has the least
+    weight of all, -``wide``."""
+    first = cells.where(F.col("group") == F.col("cell")).groupBy(F.col("cell").alias("of")).agg(
+        F.min("rep").alias("first")
+    )
+    reference = (
+        first.join(sets, F.col("first") == F.col("doc_id")).groupBy("of", "first")
+        .agg(F.min(F.struct("n", "set")).alias("ref"))  # an id may have several sets
+        .select("of", "first", F.col("ref.n").alias("ref_n"), F.col("ref.set").alias("ref_set"))
+    )
+    described = cells.join(sets, F.col("rep") == F.col("doc_id")).join(
+        reference, F.col("cell") == F.col("of")
+    )
+    differs = F.concat(F.array_except("set", "ref_set"), F.array_except("ref_set", "set"))
+    return described.select(
+        F.monotonically_increasing_id().alias("entry"), "cell", "first", "rep", "group", "n",
+        "ref_n", differs.alias("shingles"),
+    ).withColumn("d", F.size("shingles").cast("long")).select(
+        "entry", "cell", "first", "rep", "group", "d", "shingles",
+        ((100 + percent) * F.col("d") - (100 - percent) * F.col("n")).alias("weight"),
+        ((100 - percent) * F.col("ref_n")).alias("wide"),
+    )
+
+
+def _remaining(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between classes of different groups in the buckets that hold
+    several, all that can join groups."""
+    cells = cut_lineage(_cells(buckets, groups))
+    spread = cut_lineage(_differences(cells, sets, percent))
+    outside = F.col("group") != F.col("cell")
+    # A weight up to ``wide`` is a link with the reference; the other classes outside the
+    # cell's group must share a shingle of their difference with whatever they link with.
+    sure = spread.where(outside & (F.col("weight") <= F.col("wide"))).select(
+        F.col("first").alias("a"), F.col("rep").alias("b")
+    )
+    asks = outside & (F.col("weight") > F.col("wide"))
+    least = spread.groupBy(F.col("cell").alias("of")).agg(
+        F.min("weight").alias("least"), F.min(F.when(asks, F.col("weight"))).alias("least_asked")
+    )
+    double = 2 * (100 + percent)
+    # As many of an entry's shingles, rarest first, as must hold one that it shares with
+    # any entry it can be linked with: as a question, and as an answer to one.
+    needed = lambda other: F.greatest(
+        F.ceil((F.col("weight") + F.col(other)) / double), F.lit(1)
+    )
+    sized = (
+        spread.join(least, F.col("cell") == F.col("of"))
+        .where(F.col("least_asked").isNotNull())
+        .withColumn("asked", F.when(asks, F.col("d") - needed("least") + 1).otherwise(F.lit(0)))
+        .withColumn("given", F.col("d") - needed("least_asked") + 1)
+        .where((F.col("asked") > 0) | (F.col("given") > 0))
+        .drop("of", "first", "least", "least_asked", "wide")
+    )
+    sized = cut_lineage(sized)
+    met = _sharing(sized, double)
+    pairs = met.select(F.least("rep", "orep").alias("a"), F.greatest("rep", "orep").alias("b"))
+    return cut_lineage(_confirmed(cut_lineage(pairs.distinct()), sets, percent).unionByName(sure))
+
+
+def _sharing(sized: DataFrame, double: int) -> DataFrame:
+    """Pairs of entries of a cell and of different groups that share a shingle at places
+    which leave room for as many as they need."""
+    tokens = sized.select("cell", "entry", F.explode("shingles").alias("shingle"))
+    often = (
+        tokens.groupBy(F.col("cell").alias("of"), F.col("shingle").alias("s"))
+        .agg(F.count("*").alias("times")).where(F.col("times") > 1)
+    )
+    common = tokens.join(often, (F.col("cell") == F.col("of")) & (F.col("shingle") == F.col("s")))
+    # Shingles that no other entry has come first; an entry has as many as it lacks here.
+    own = W.partitionBy("entry")
+    placed = common.select(
+        F.col("entry").alias("e"), "shingle",
+        (F.row_number().over(own.orderBy("times", "shingle")) - F.count("*").over(own)).alias("place"),
+    )
+    rows = (
+        sized.drop("shingles").join(placed, F.col("entry") == F.col("e"))
+        .withColumn("left", -F.col("place")).withColumn("place", F.col("d") + F.col("place"))
+        .where(F.col("place") <= F.greatest("asked", "given"))
+    )
+    rows = cut_lineage(rows.drop("e"))
+    answers = rows.where(F.col("place") <= F.col("given")).select(
+        F.col("cell").alias("ocell"), F.col("shingle").alias("oshingle"), F.col("rep").alias("orep"),
+        F.col("group").alias("ogroup"), F.col("weight").alias("oweight"), F.col("left").alias("oleft"),
+    )
+    room = 1 + F.least("left", "oleft")
+    return rows.where(F.col("place") <= F.col("asked")).join(
+        answers,
+        (F.col("cell") == F.col("ocell")) & (F.col("shingle") == F.col("oshingle"))
+        & (F.col("group") != F.col("ogroup"))
+        & (double * room >= F.col("weight") + F.col("oweight")),
     )
-    return grouped.join(wide, F.col("key") == F.col("open")).drop("open")
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -255,7 +307,8 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     joined = joined.select(F.col("node").alias("old"), F.col("component").alias("new"))
     return cut_lineage(
         groups.join(joined, F.col("component") == F.col("old"), "left")
-        .select("node", F.coalesce("new", "component").alias("component"))
+        .select("node", F.coalesce("new", "component").alias("component")),
+        outer=True,
     )
 
 
