@@ -1,10 +1,13 @@
 """Line dedup and source mixing against plain Python, with the odd inputs."""
 
+import hashlib
+import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from threadlens.llm import mixing
 from threadlens.llm.common import running_total, word_count
 from threadlens.llm.line_dedup import LineRuns, dedup_lines
 from threadlens.llm.mixing import mix_documents, mix_sources, source_targets
@@ -130,6 +133,50 @@ def test_mix_reaches_targets_and_repeats(spark):
     assert sum(taken.values()) <= sum(r[3] for r in rows)
 
 
+def expected_mix(rows, seed=17):
+    """One document after the other: it is taken if what is left of the target holds it."""
+    size = {}
+    for _, _, s, n in rows:
+        size[s] = size.get(s, 0) + (n or 0)
+    target = expected_targets(size)
+    out, used = {}, defaultdict(int)
+    key = lambda r: (hashlib.md5(f"{seed}:{r[1]}".encode()).hexdigest(), r[1], r[3] or 0, r[0])
+    for row, _, s, n in sorted(rows, key=key):
+        whole = int(target[s] // size[s]) if size[s] else 0
+        fits = used[s] + (n or 0) <= target[s] - whole * size[s] + 1e-6
+        if n and fits:
+            used[s] += n
+        out[row] = whole + 1 if n and fits else whole if n else max(whole, 1)
+    return out, target
+
+
+@pytest.mark.parametrize("front", [1000, 3])
+def test_mix_passes_over_what_does_not_fit(spark, monkeypatch, front):
+    """Long documents early in a small source's queue cost it no more than themselves."""
+    monkeypatch.setattr(mixing, "FRONT", front)
+    pick = random.Random(9)
+    rows, row = [], 0
+    for s, many in (("hot", 400), ("a", 30), ("b", 25), (None, 40), ("z", 3), ("none", 2)):
+        for _ in range(many):
+            n = pick.choice([0, 1, 7, 20, 90, 700, 20_000]) if s != "none" else 0
+            rows.append((row, row * 7 % 1009, s, n))
+            row += 1
+    df = spark.createDataFrame(rows, "row long, doc_id long, source string, size long")
+    got = mix_sources(df.repartition(6)).collect()
+    want, target = expected_mix(rows)
+    assert {r.row: r.copies for r in got} == want
+    taken, left = defaultdict(int), defaultdict(list)
+    for r in got:
+        assert r.copies <= 3
+        taken[r.source] += r.copies * r.size
+        if r.size and r.copies * r.source_size < r.target:  # there was room for it once more
+            left[r.source].append(r.size)
+    for s, t in target.items():
+        assert taken[s] <= t + 1e-6
+        if left[s] and t < 3 * sum(r[3] for r in rows if r[2] == s):
+            assert t - taken[s] <= min(left[s]) + 1
+
+
 def test_mix_odd_rows(spark):
     rows = [(0, 1, "a", None), (1, 1, "a", 4), (2, 1, "a", 4), (3, None, None, 9), (4, 2, "b", 0)]
     df = spark.createDataFrame(rows, "row long, doc_id long, source string, size long")

@@ -127,3 +127,34 @@ def test_packing_odd_rows(spark):
     assert packed.columns == ["doc_id", "length", "number", "row", "bin", "item", "sequence_id", "offset"]
     assert check_packing(packed.collect(), 8) == 3
     assert pack_pieces(pieces.limit(0), 8).count() == 0
+
+
+def test_one_huge_text_is_cut_in_proportion(spark):
+    """32 million characters take about four times as long as 8 million."""
+    import time
+
+    import pandas as pd
+    from threadlens.llm.token_counts import CHUNK_CHARS, OVERLAP_CHARS, _cut
+
+    def seconds(size):
+        text = "ab ä" * (size // 4)
+        frame = pd.DataFrame({"row": [1], "text": [text]})
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            parts = pd.concat(_cut(CHUNK_CHARS, OVERLAP_CHARS)(iter([frame])), ignore_index=True)
+            took.append(time.process_time() - start)
+        assert parts["k"].tolist() == list(range(-(-size // CHUNK_CHARS)))
+        assert "".join(p[:CHUNK_CHARS] for p in parts["part"]) == text
+        return min(took)
+
+    assert seconds(32_000_000) < 12 * seconds(8_000_000)
+
+
+def test_a_long_text_is_counted_as_a_whole(spark):
+    whole = Tokenizer.from_file(BYTE_BPE)
+    text = "".join(f"word {i} it's  a\n\n long text, " for i in range(60_000))
+    docs = spark.createDataFrame([(1, text), (2, "a" * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in count_tokens(docs, BYTE_BPE).collect()}
+    assert got[1] == len(whole.encode(text, add_special_tokens=False).ids)
+    assert got[2] == len(whole.encode("a" * 100_000, add_special_tokens=False).ids)

@@ -130,3 +130,21 @@ def test_graph_walk_finds_the_nearest_centers():
     hits = [len(set(a[:COPIES]) & set(b)) for a, b in zip(ids, nearest)]
     assert sum(hits) >= 0.95 * COPIES * 50
     assert np.allclose(dist[:, 0], np.take_along_axis(true, ids[:, :1], 1)[:, 0])
+
+
+def test_an_id_on_many_near_rows_takes_one_place(spark):
+    """100 rows of one id crowd the top; the list of 20 is complete all the same."""
+    rng = np.random.default_rng(4)
+    rows = [(5, (np.ones(8) + rng.normal(size=8) * 0.01).tolist()) for _ in range(100)]
+    rows += [(100 + i, rng.normal(size=8).tolist()) for i in range(200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, [1.0] * 8)], "vec_id long, embedding array<double>")
+    best = {}
+    for i, x in rows:
+        best[i] = max(best.get(i, -9e9), sum(x))
+    want = sorted(best.items(), key=lambda v: (-v[1], v[0]))[:20]
+    for lists in (1, 4):
+        got = search_vectors(vectors, asked, k=20, lists=lists).orderBy("rank").collect()
+        assert len(got) == len({r.vec_id for r in got}) == 20
+        if lists == 1:
+            assert [r.vec_id for r in got] == [i for i, _ in want]
