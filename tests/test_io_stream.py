@@ -82,6 +82,7 @@ def test_late_messages_are_kept_and_scratch_is_deleted(spark, tmp_path):
     from threadlens.session import cut_lineage, shared_dir
 
     source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
     schema = "message_id string, message string, created_at timestamp"
     stream = spark.readStream.schema(schema).parquet(source)
     used = []
@@ -102,3 +103,87 @@ def test_late_messages_are_kept_and_scratch_is_deleted(spark, tmp_path):
     got = [r.message_id for r in read_sink(spark, sink).collect()]
     assert sorted(got) == [str(i) for i in range(9)]
     assert len(used) == 3 and left_over() == before
+
+
+def test_ids_are_kept_in_the_state_not_read_from_the_sink(spark, tmp_path):
+    """After a restart repeated ids stay out although the files that held them are gone,
+    and a later batch reads no more than its own rows."""
+    import shutil
+
+    source, sink, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    (tmp_path / "in").mkdir()
+    schema = "message_id string, message string"
+    stream = spark.readStream.schema(schema).parquet(source)
+    read = []
+
+    def work(batch):
+        read.append(batch.count())
+        return batch
+
+    def arrive(ids):
+        rows = [(None if i is None else str(i), "hi") for i in ids]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        triage_stream(stream, work, sink, check, available_now=True).awaitTermination()
+
+    arrive([*range(50), 3, 4, None, None])
+    arrive([*range(40, 60), None])
+    shutil.rmtree(f"{sink}/batch=0")
+    arrive([*range(70), 69])
+    assert read == [51, 10, 10]
+    got = sorted(int(r.message_id) for r in read_sink(spark, sink).collect())
+    assert got == list(range(50, 70))
+    with pytest.raises(ValueError, match="another checkpoint"):
+        triage_stream(stream, work, sink, str(tmp_path / "new"), available_now=True)
+
+
+CSV_ROWS = [
+    ("1", "plain"), ("2", "two\nlines"), ("3", 'a "quoted" word'), ("4", '"'), ("5", '""\n""'), ("6", ""),
+    ("7", None), ("8", "\n\n\n"), ("9", "a,b\r\nc"), ("10", "ä中\n,\"x\"\n" * 9), ("11", "y" * 700),
+    ("12", "\n" + "z\n" * 40), ("13", " padded "), ("14", "id,text"), ("15", "end"),
+]
+
+
+@pytest.mark.parametrize(
+    "cut, ending, broadcast",
+    [(17, "\n", True), (23, "\r\n", True), (200, "\n", True), (100_000, "\r\n", True), (61, "\n", False)],
+)
+def test_csv_ranges_equal_the_multi_line_reader(spark, tmp_path, monkeypatch, cut, ending, broadcast):
+    """Byte ranges end inside quotes, between doubled quotes, in line ends and in characters."""
+    from threadlens.sources import csv_records
+
+    def cell(v):
+        return "" if v is None else '"' + v.replace('"', '""') + '"' if v == "" or set(v) & set(',"\r\n') else v
+
+    read = [(i, t or None) for i, t in CSV_ROWS]  # an empty field is null, quoted or not
+    for name, rows in (("a", CSV_ROWS), ("b", CSV_ROWS[::-1]), ("c", CSV_ROWS[:1]), ("d", [])):
+        text = "".join(f"{cell(i)},{cell(t)}{ending}" for i, t in [("id", "text"), *rows])
+        if name == "b":
+            text = "\ufeff" + text.rstrip("\r\n")  # a mark at the start, no end of the last line
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    if not broadcast:
+        monkeypatch.setattr(csv_records, "BROADCAST_ROWS", 0)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set(keys[0], cut)
+        spark.conf.set(keys[1], 0)
+        found = readers.read_csv_strings(spark, str(tmp_path), ["id", "text"])
+        got = sorted(((r.id, r.text) for r in found.collect()), key=str)
+        if cut < 50:
+            assert found.rdd.getNumPartitions() > 8
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert got == sorted([*read, *read, *read[:1]], key=str)
+    if ending == "\r\n":
+        return  # Spark's reader changes the line ends inside fields there
+    plain = spark.read.csv(str(tmp_path / "a.csv"), header=True, multiLine=True, quote='"', escape='"')
+    assert sorted(((r.id, r.text) for r in plain.collect()), key=str) == sorted(read, key=str)
+
+
+def test_csv_headers_are_checked_and_open_quotes_end_with_the_file(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('id,text\n1,"open\n2,b\n')
+    rows = readers.read_csv_strings(spark, str(tmp_path / "x.csv"), ["id", "text"]).collect()
+    assert [r.id for r in rows] == ["1"] and rows[0].text.startswith("open")
+    (tmp_path / "y.csv").write_text("text,id\n1,2\n")
+    with pytest.raises(Exception, match="the header is not id,text"):
+        readers.read_csv_strings(spark, str(tmp_path / "y.csv"), ["id", "text"]).collect()

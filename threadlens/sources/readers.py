@@ -6,9 +6,9 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from threadlens.functions import text as tx
+from threadlens.sources.csv_records import read_records
 
 TWEET_COLUMNS = [
     "tweet_id", "author_id", "inbound", "created_at", "text",
@@ -20,21 +20,16 @@ GOLDEN_SCHEMA = "text string, intent string"
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """A CSV with header and quoted multi-line fields, every column a string."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.csv(
-        path, schema=schema, header=True, multiLine=True, quote='"', escape='"',
-        enforceSchema=False,
-    )
+    """A CSV with header and quoted multi-line fields, every column a string. A file is
+    read by as many tasks as it has byte ranges (``csv_records``)."""
+    return read_records(spark, path, columns)
 
 
 def read_tweets(
     spark: SparkSession, path: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Read the message dump. With ``columns`` only those are kept, null as ''.
-
-    Quoted line breaks make a CSV file unsplittable, so read a large dump once
-    and keep it as Parquet (``writers.write_parquet``)."""
+    """Read the message dump. With ``columns`` only those are kept, null as ''. Keep a large
+    dump as Parquet (``writers.write_parquet``) if it is read often."""
     df = read_csv_strings(spark, path, TWEET_COLUMNS)
     if columns is None:
         return df
