@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadlens.functions import lexicons as lx
-from threadlens.operators import evaluation, features, frequency, gating, models, retrieval, topics
+from threadlens.operators import (
+    evaluation, features, frequency, gating, kmeans, models, retrieval, topics,
+)
 from threadlens.plans import triage
 
 
@@ -241,11 +243,56 @@ def test_classifier_beats_majority_and_repeats(spark):
     assert model.score(unseen, "id", "customer").count() == 1
 
 
+def vectors_of(model, df):
+    """MLlib vectors of the texts, terms in the order that fitting numbers them."""
+    terms = models.indexed_terms(model.coefficients.select("term"))
+    weights = model.tfidf.transform(df, "id", "customer")
+    return models.to_vectors(df, "id", weights, terms, model.bound)
+
+
+def test_relational_scores_equal_mllib(spark):
+    df = cases(spark)
+    model = models.fit_intent(df, "id", "customer", "intent", features.DEMO)
+    extra = [("x", "xyzzy", "refund", ""), ("y", None, "refund", ""), ("z", "parcel refund login", "", "")]
+    asked = df.unionByName(spark.createDataFrame(extra, df.schema)).withColumns(
+        {"w": F.lit(1), "term": F.lit("t")}  # names that the scoring uses as well
+    )
+    there = {
+        r.id: (r.prediction, r.probability.toArray())
+        for r in model.solved.transform(vectors_of(model, asked)).collect()
+    }
+    here = model.score(asked, "id", "customer").collect()
+    assert len(here) == len(there) == len(TRAIN) + 3
+    for r in here:
+        prediction, chance = there[r.id]
+        assert r.predicted_intent == model.labels[int(prediction)]
+        assert abs(r.prediction_confidence - chance.max()) < 1e-9
+
+
+def test_class_means(spark):
+    df = cases(spark)
+    model = models.fit_class_means(df, "id", "customer", "intent", features.DEMO)
+    weights = brute_tfidf([t for t, _ in TRAIN])
+    want = {}
+    for w, (_, label) in zip(weights, TRAIN):
+        n = sum(y == label for _, y in TRAIN)
+        for t, v in w.items():
+            want[t, label] = want.get((t, label), 0.0) + 10 * v / n
+    for r in model.coefficients.collect():
+        assert r.w == pytest.approx([want.get((r.term, x), 0.0) for x in model.labels])
+    out = model.score(df, "id", "customer")
+    assert evaluation.accuracy(out, "intent", "predicted_intent").first()[0] == 1.0
+    none = model.score(spark.createDataFrame([("n", "")], "id string, customer string"), "id", "customer")
+    assert tuple(none.select("predicted_intent", F.round("prediction_confidence", 9)).first()) == (
+        "account", round(1 / 3, 9),
+    )
+
+
 def test_classifier_matches_a_direct_solution(spark):
     """Same optimum as plain gradient descent on the balanced, C = 1 objective."""
     df = cases(spark)
     model = models.fit_intent(df, "id", "customer", "intent", features.DEMO)
-    rows = model.features(df, "id", "customer").orderBy("id").collect()
+    rows = vectors_of(model, df).orderBy("id").collect()
     x = np.array([r.features.toArray() for r in rows])
     labels = list(model.labels)
     y = np.array([labels.index(r.intent) for r in rows])
@@ -280,7 +327,93 @@ def test_triage_demo(spark):
     assert got["1"].intent == "delivery"
     assert got["1"].evidence[0].similarity == 1.0
     assert got["2"].action == "ESCALATE" and "sue" in got["2"].reason
-    assert got["3"].evidence == [] and got["3"].draft_reply == lx.DEMO_REPLY_CLARIFY
+    # A message always gets its cases, at similarity 0 if it shares no term with any.
+    assert [e.similarity for e in got["3"].evidence] == [0.0] * lx.DEMO_TOP_K
+    assert got["3"].draft_reply == lx.DEMO_REPLY_CLARIFY
+
+
+@pytest.fixture(scope="module")
+def topic_feats(spark):
+    rng = np.random.default_rng(8)
+    words = [[f"{t}{i}" for i in range(12)] for t in "abcd"]
+    texts = [" ".join(rng.choice(words[i % 4] + words[0][:2], 8)) for i in range(160)] + [""]
+    d = docs(spark, texts).withColumnRenamed("text", "clean_text")
+    return topics.topic_features(d, "id", settings=features.TermSettings(1, 1.0, 400))
+
+
+def dense(feats):
+    rows = feats.vectors.orderBy("id").collect()
+    x = np.zeros((len(rows), feats.size))
+    for i, r in enumerate(rows):
+        x[i, r.indices] = r["values"]
+    return x
+
+
+def lloyd(x, centers, tol=1e-4):
+    while True:
+        apart = ((x[:, None] - centers[None]) ** 2).sum(2)
+        own = apart.round(12).argmin(1)
+        moved = np.stack([x[own == c].mean(0) if (own == c).any() else centers[c] for c in range(len(centers))])
+        far = ((moved - centers) ** 2).sum(1).max()
+        centers = moved
+        if far <= tol * tol:
+            return centers, ((x[:, None] - centers[None]) ** 2).sum(2).min(1).sum()
+
+
+def test_shared_passes_equal_separate_fits(spark, topic_feats):
+    runs = [(4, 1), (4, 2), (3, 5), (6, 1)]
+    args = (topic_feats.size, ["id"])
+    together = kmeans.fit_runs(topic_feats.vectors, runs, *args)
+    x = dense(topic_feats)
+    sample = topic_feats.vectors.orderBy("id").select("indices", "values").toArrow()
+    rows = kmeans._batch(sample.combine_chunks().to_batches()[0])
+    for (centers, cost), run in zip(together, runs):
+        (alone, alone_cost), = kmeans.fit_runs(topic_feats.vectors, [run], *args)
+        assert np.allclose(centers, alone) and abs(cost - alone_cost) < 1e-9
+        plain, plain_cost = lloyd(x, kmeans._first_centers(rows, *run, topic_feats.size))
+        assert np.allclose(centers, plain) and abs(cost - plain_cost) < 1e-6
+    best, cost = topics.topics(topic_feats, 4, restarts=6)
+    each = [kmeans.fit_runs(topic_feats.vectors, [(4, 42 + i)], topic_feats.size, [topics.tx.seeded_hash(42, "id"), "id"])[0][1]
+            for i in range(6)]
+    assert abs(cost - min(each)) < 1e-9
+    assert abs(best.agg(F.sum("distance")).first()[0] - cost) < 1e-6
+
+
+def test_all_starts_share_their_jobs(spark, topic_feats):
+    spark.sparkContext.setJobGroup("passes", "passes")
+    topics.best_topics(topic_feats, (3, 4, 5), restarts=10)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("passes")
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(jobs) <= 60  # thirty fits
+
+
+def test_silhouette_against_brute_force(spark, topic_feats):
+    x = dense(topic_feats)
+    apart = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(2), 0))
+    for label in ("id % 3", "id % 2", "if(id = 7, 9, id % 4)", "1"):
+        assigned = topic_feats.vectors.withColumn("cluster", F.expr(label))
+        own = np.array([r.cluster for r in assigned.orderBy("id").collect()])
+        values = []
+        for i, c in enumerate(own):
+            mine = own == c
+            if mine.sum() == 1 or len(set(own)) == 1:
+                values.append(0.0)
+                continue
+            a = apart[i, mine].sum() / (mine.sum() - 1)
+            b = min(apart[i, own == d].mean() for d in set(own) if d != c)
+            values.append((b - a) / max(a, b))
+        got = topics.silhouette(assigned, "id", topic_feats.size)
+        assert abs(got - np.mean(values)) < 1e-6
+    few = topics.silhouette(topic_feats.vectors.withColumn("cluster", F.expr("id % 3")), "id", topic_feats.size, sample=20)
+    assert -1 <= few <= 1
+    assert topics.silhouette(topic_feats.vectors.limit(0).withColumn("cluster", F.lit(1)), "id", topic_feats.size) == 0.0
+
+
+def test_stated_centers(spark, topic_feats):
+    terms = [r.term for r in topic_feats.terms.orderBy("idx").limit(3).collect()]
+    stated = spark.createDataFrame([(0, terms[0], 1.0), (1, terms[2], 0.5), (1, "unknown", 3.0)], "cluster int, term string, center double")
+    got = topics.stated_centers(topic_feats, stated, 2)
+    assert got.shape == (2, topic_feats.size) and got.sum() == 1.5 and got[0, 0] == 1.0 and got[1, 2] == 0.5
 
 
 def test_topics(spark):
@@ -289,7 +422,7 @@ def test_topics(spark):
     feats = topics.topic_features(d, "id", settings=features.TermSettings(2, 0.9, 50))
     assigned, cost = topics.topics(feats, 2, restarts=3)
     assert sorted(r["size"] for r in topics.cluster_sizes(assigned).collect()) == [12, 12]
-    assert cost < 1e-6 and topics.silhouette(assigned, "id") > 0.9
+    assert cost < 1e-6 and topics.silhouette(assigned, "id", feats.size) > 0.9
     first = {r.cluster: set() for r in assigned.collect()}
     for r in topics.cluster_terms(feats.weights, assigned, "id", 3).collect():
         first[r.cluster].add(r.term)

@@ -1,12 +1,16 @@
-"""Intent classifiers and topic clusters on sparse TF-IDF vectors (MLlib)."""
+"""Intent classifiers on TF-IDF: fitted by MLlib or as class means, scored as a join.
+
+A fitted model is a table (term, one coefficient per label) and an intercept per label.
+Scoring joins the texts' term weights with it and adds up one product per label: a row per
+term of a text, whatever the number of labels, and no vectors."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -72,28 +76,56 @@ def to_vectors(
 
 @dataclass(frozen=True)
 class IntentModel:
-    """A fitted vocabulary, classifier and its label order."""
+    """A fitted vocabulary, its coefficients (term, w: one number per label), and the
+    labels with their intercepts. ``bound`` is the most terms it can have, if known, and
+    ``solved`` the MLlib model the coefficients are from."""
 
     tfidf: TfIdf
-    terms: DataFrame
-    classifier: LogisticRegressionModel
+    coefficients: DataFrame
     labels: tuple[str, ...]
-    n_terms: int
-
-    def features(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        weights = self.tfidf.transform(docs, key, text)
-        return to_vectors(docs, key, weights, self.terms, self.n_terms)
+    intercepts: tuple[float, ...]
+    bound: int | None = None
+    solved: LogisticRegressionModel | None = None
+
+    def logits(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        """Add ``logits``: per label the intercept and the text's weights times its
+        coefficients, at twelve places so that the order of adding does not matter. A text
+        without known terms has the intercepts."""
+        weights = self.tfidf.transform(docs.select(key, text), key, text)
+        own = broadcast_bounded(self.coefficients.withColumnRenamed("term", "__term"), self.bound)
+        n = len(self.labels)
+        sums = weights.join(own, F.col("term") == F.col("__term")).groupBy(
+            F.col(key).alias("__key")
+        ).agg(*(F.sum(F.col("weight") * F.col("w")[i]).alias(f"__z{i}") for i in range(n)))
+        logits = F.array(
+            *(F.round(F.coalesce(f"__z{i}", F.lit(0e0)) + F.lit(b), 12)
+              for i, b in enumerate(self.intercepts))
+        )
+        scored = docs.join(sums, F.col(key) == F.col("__key"), "left").withColumn("logits", logits)
+        return scored.drop("__key", *(f"__z{i}" for i in range(n)))
 
     def score(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """Add ``predicted_intent`` and ``prediction_confidence``."""
-        scored = self.classifier.transform(self.features(docs, key, text))
+        """Add ``predicted_intent``, the first label with the largest logit, and
+        ``prediction_confidence``, its softmax probability."""
         names = F.array(*[F.lit(x) for x in self.labels])
-        return scored.withColumns(
+        top = F.array_max("logits")
+        others = F.aggregate("logits", F.lit(0e0), lambda a, z: a + F.exp(z - top))
+        place = F.array_position("logits", top).cast("int")
+        return self.logits(docs, key, text).withColumns(
             {
-                "predicted_intent": F.element_at(names, F.col("prediction").cast("int") + 1),
-                "prediction_confidence": F.array_max(vector_to_array("probability")),
+                "predicted_intent": F.element_at(names, place),
+                "prediction_confidence": F.lit(1e0) / others,
             }
-        ).drop("features", "rawPrediction", "probability", "prediction")
+        ).drop("logits")
+
+
+def _labels(counts: DataFrame, label: str) -> tuple[list, tuple[str, ...]]:
+    """The rows of a label list, small by nature, in label order."""
+    rows = counts.orderBy(label).collect()
+    labels = tuple(r[label] for r in rows)
+    if len(labels) < 2:
+        raise ValueError(f"need at least two classes to fit, found {list(labels)}")
+    return rows, labels
 
 
 def fit_intent(
@@ -112,11 +144,7 @@ def fit_intent(
     terms = cut_lineage(indexed_terms(stored.terms))
     fitted = TfIdf(terms.select("term", "idf"), settings)
     weights = cut_lineage(class_weights(train, label))
-    # One row per class: a label list, small by nature.
-    rows = weights.orderBy(label).collect()
-    labels = tuple(r[label] for r in rows)
-    if len(labels) < 2:
-        raise ValueError(f"need at least two classes to fit, found {list(labels)}")
+    rows, labels = _labels(weights, label)
     names = F.array(*[F.lit(x) for x in labels])
     prepared = train.join(
         broadcast_bounded(weights.select(label, "weight"), len(labels)), label
@@ -134,7 +162,34 @@ def fit_intent(
         family="multinomial", weightCol="weight", elasticNetParam=0.0, regParam=1.0 / (c * n),
         standardization=False, maxIter=max_iter, tol=1e-6,
     )
-    return IntentModel(fitted, terms, lr.fit(vectors), labels, n_terms)
+    solved = lr.fit(vectors)
+    columns = solved.coefficientMatrix.toArray().T
+    table = train.sparkSession.createDataFrame(
+        pd.DataFrame({"place": range(n_terms), "w": list(columns)}), "place int, w array<double>"
+    )
+    coefficients = cut_lineage(
+        terms.join(table, F.col("idx") == F.col("place")).select("term", "w")
+    )
+    intercepts = tuple(float(b) for b in solved.interceptVector)
+    return IntentModel(fitted, coefficients, labels, intercepts, n_terms, solved)
+
+
+def fit_class_means(
+    train: DataFrame, key: str, text: str, label: str, settings: TermSettings = BASELINE,
+    sharpness: float = 10.0,
+) -> IntentModel:
+    """The classifier whose coefficients are the mean term weights of each class, times
+    ``sharpness``. It is one aggregation, of any vocabulary and without a solver."""
+    fitted = fit_tfidf(train, key, text, settings).stored()
+    rows, labels = _labels(train.groupBy(label).agg(F.count("*").alias("n")), label)
+    weights = fitted.transform(train, key, text, [label])
+    means = [
+        F.sum(F.when(F.col(label) == r[label], F.col("weight")).otherwise(0e0))
+        * F.lit(sharpness) / F.lit(float(r["n"]))
+        for r in rows
+    ]
+    coefficients = cut_lineage(weights.groupBy("term").agg(F.array(*means).alias("w")))
+    return IntentModel(fitted, coefficients, labels, (0.0,) * len(labels), settings.max_features)
 
 
 def majority_baseline(train: DataFrame, validation: DataFrame, label: str) -> DataFrame:

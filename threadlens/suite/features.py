@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadlens.functions import lexicons as lx
 from threadlens.functions import text as tx
-from threadlens.operators import evaluation, features, models, topics
+from threadlens.operators import evaluation, features, kmeans, models, topics
 from threadlens.plans import baseline, report
 from threadlens.session import cut_lineage
 from threadlens.suite import fixtures as fx
 from threadlens.suite import sql as q
 from threadlens.suite.base import query
 from threadlens.suite.io_text import GOLD_PRED, gold_and_pred
-from threadlens.suite.relational import silver_split
+from threadlens.suite.relational import SPLIT_SQL, silver_split
 
 # -- terms and weights in SQL -------------------------------------------------
 
@@ -59,6 +60,29 @@ def weights_sql(vocab: str, counts: str, key: str, out: str) -> str:
   FROM {out}_raw)"""
 
 
+def class_means_sql(train, key, label, asked, asked_key, settings, sharpness=10) -> str:
+    """CTEs up to scored_means(asked_key, predicted, confidence): ``asked`` scored by the
+    mean term weights of the classes of ``train``; both have a column text."""
+    return f"""{tfidf_sql(train, key, 'text', settings, 'cm')},
+cm_n AS (SELECT {label} AS label, count(*)::DOUBLE AS n FROM {train} GROUP BY ALL),
+cm_coef AS (
+  SELECT w.term, t.{label} AS label, sum(w.weight) * {sharpness}e0 / any_value(n.n) AS coef
+  FROM cm_w w JOIN {train} t USING ({key}) JOIN cm_n n ON n.label = t.{label} GROUP BY ALL),
+{grams_sql(asked, asked_key, 'text', settings, 'cq')},
+{weights_sql('cm', 'cq_tf', asked_key, 'cq_w')},
+cm_z AS (
+  SELECT a.{asked_key}, n.label, round(coalesce(s.z, 0), 12) AS z
+  FROM {asked} a CROSS JOIN cm_n n
+  LEFT JOIN (SELECT q.{asked_key}, c.label, sum(q.weight * c.coef) AS z
+    FROM cq_w q JOIN cm_coef c USING (term) GROUP BY ALL) s
+    ON s.{asked_key} = a.{asked_key} AND s.label = n.label),
+scored_means AS (
+  SELECT {asked_key}, arg_max(label, (z, -place)) AS predicted, 1 / sum(exp(z - top)) AS confidence
+  FROM (SELECT *, max(z) OVER (PARTITION BY {asked_key}) AS top,
+          row_number() OVER (PARTITION BY {asked_key} ORDER BY label) AS place FROM cm_z)
+  GROUP BY {asked_key})"""
+
+
 _DEMO, _BASE = features.DEMO, features.BASELINE
 
 
@@ -171,6 +195,34 @@ def _ml7(spark, sf):
     )
 
 
+@query(
+    "ml7_class_mean_scores",
+    q.with_(
+        q.TWEETS, q.PAIRS, SPLIT_SQL,
+        "tr AS (SELECT brand_tweet_id, customer_text AS text, silver_intent FROM split "
+        "WHERE split = 'train')",
+        "asked AS (SELECT brand_tweet_id AS id, customer_text AS text, silver_intent FROM split)",
+        class_means_sql("tr", "brand_tweet_id", "silver_intent", "asked", "id", _BASE),
+    )
+    + "SELECT id AS brand_tweet_id, silver_intent, predicted AS predicted_intent, "
+    "round(confidence, 6) AS prediction_confidence FROM asked JOIN scored_means USING (id)",
+)
+def _ml7_means(spark, sf):
+    """The relational scoring, with coefficients that SQL can compute: class means."""
+    split = _stored_split(spark, sf)
+    model = models.fit_class_means(
+        split.where("split = 'train'"), "brand_tweet_id", "customer_text", "silver_intent"
+    )
+    scored = model.score(
+        split.select("brand_tweet_id", "customer_text", "silver_intent"),
+        "brand_tweet_id", "customer_text",
+    )
+    return scored.select(
+        "brand_tweet_id", "silver_intent", "predicted_intent",
+        F.round("prediction_confidence", 6).alias("prediction_confidence"),
+    )
+
+
 @query("ml8_context_classifier")
 def _ml8(spark, sf):
     pairs = cut_lineage(fx.pairs(spark, sf))
@@ -200,7 +252,8 @@ def _ml9(spark, sf):
 def _ml10(spark, sf):
     feats = _topic_features(spark, sf)
     assigned, cost = topics.topics(feats, 10)
-    value = topics.silhouette(assigned, "doc_id")
+    assigned = cut_lineage(assigned)
+    value = topics.silhouette(assigned, "doc_id", feats.size)
     return assigned.agg(
         F.lit(10).alias("k"), F.lit(round(value, 6)).alias("silhouette"),
         F.lit(round(cost, 6)).alias("cost"), F.count("*").alias("messages"),
@@ -256,6 +309,95 @@ def _ml12(spark, sf):
     return topics.cluster_examples(w, assigned, "doc_id")
 
 
+# Stated centers: the weights of the eight messages with the smallest ids.
+_STATED = (
+    f"c AS (SELECT doc_id, {q.clean_topic('text')} AS t FROM documents),\n"
+    + tfidf_sql("c", "doc_id", "t", _KM, "g")
+    + """, seeds AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS cluster
+  FROM documents ORDER BY doc_id LIMIT 8),
+norm AS (SELECT d.doc_id, coalesce(sum(g.weight * g.weight), 0) AS x2
+  FROM documents d LEFT JOIN g_w g USING (doc_id) GROUP BY d.doc_id),
+apart AS (
+  SELECT n.doc_id, s.cluster, round(greatest(n.x2 + c.x2 - 2 * coalesce(p.xc, 0), 0), 9) AS distance
+  FROM norm n CROSS JOIN seeds s JOIN norm c ON c.doc_id = s.doc_id
+  LEFT JOIN (SELECT x.doc_id, y.doc_id AS seed, sum(x.weight * y.weight) AS xc
+    FROM g_w x JOIN g_w y USING (term) WHERE y.doc_id IN (SELECT doc_id FROM seeds) GROUP BY ALL) p
+    ON p.doc_id = n.doc_id AND p.seed = s.doc_id)"""
+)
+
+
+def _all_rows(spark, sf):
+    """The K-means features of all documents."""
+    docs = fx.documents(spark, sf).select("doc_id", tx.clean_topic("text").alias("clean_text"))
+    return topics.topic_features(docs, "doc_id")
+
+
+@query(
+    "ml9_assignment_step",
+    q.with_(_STATED)
+    + "SELECT doc_id, round(min(distance), 6) AS distance FROM apart GROUP BY doc_id",
+)
+def _ml9_step(spark, sf):
+    """One assignment step: the nearest of stated centers and its squared distance."""
+    return _nearest_stated(spark, sf).select("doc_id", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "ml9_stated_cost",
+    q.with_(_STATED)
+    + "SELECT count(*) AS messages, round(sum(d), 4) AS cost "
+    "FROM (SELECT min(distance) AS d FROM apart GROUP BY doc_id)",
+)
+def _ml9_cost(spark, sf):
+    found = _nearest_stated(spark, sf)
+    return found.agg(
+        F.count("*").alias("messages"), F.round(F.sum("distance"), 4).alias("cost")
+    )
+
+
+def _nearest_stated(spark, sf):
+    feats = _all_rows(spark, sf)
+    first = feats.vectors.select("doc_id").orderBy("doc_id").limit(8).select(
+        F.col("doc_id").alias("seed"),
+        (F.row_number().over(W.orderBy("doc_id")) - 1).alias("cluster"),
+    )
+    own = feats.weights.join(first, F.col("doc_id") == F.col("seed"))
+    centers = own.select("cluster", "term", F.col("weight").alias("center"))
+    return kmeans.nearest(feats.vectors, topics.stated_centers(feats, centers, 8))
+
+
+@query(
+    "ml10_silhouette_given",
+    q.with_(_TOPIC_W)
+    + """, norm AS (SELECT d.doc_id, d.lang AS cluster, coalesce(sum(g.weight * g.weight), 0) AS x2
+  FROM documents d LEFT JOIN g_w g USING (doc_id) GROUP BY ALL),
+dots AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.weight * y.weight) AS xy
+  FROM g_w x JOIN g_w y USING (term) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+sums AS (
+  SELECT x.doc_id, x.cluster, y.cluster AS other, count(*) AS n,
+    sum(CASE WHEN x.doc_id = y.doc_id THEN 0
+      ELSE sqrt(greatest(x.x2 + y.x2 - 2 * coalesce(d.xy, 0), 0)) END) AS apart
+  FROM norm x CROSS JOIN norm y LEFT JOIN dots d ON d.a = x.doc_id AND d.b = y.doc_id GROUP BY ALL),
+ab AS (
+  SELECT doc_id, max(n) FILTER (other = cluster) AS own,
+    sum(apart / greatest(n - 1, 1)) FILTER (other = cluster) AS a,
+    min(apart / n) FILTER (other <> cluster) AS b
+  FROM sums GROUP BY doc_id)
+SELECT round(avg(CASE WHEN own > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM ab""",
+)
+def _ml10_given(spark, sf):
+    """The silhouette of given clusters (languages), by Euclidean distance."""
+    feats = _all_rows(spark, sf)
+    langs = fx.documents(spark, sf).select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("cluster")
+    )
+    assigned = cut_lineage(
+        feats.vectors.join(langs, F.col("doc_id") == F.col("id")).drop("id")
+    )
+    value = topics.silhouette(assigned, "doc_id", feats.size)
+    return assigned.limit(1).select(F.lit(round(value, 6)).alias("silhouette"))
+
+
 @query("ml13_compare_k")
 def _ml13(spark, sf):
     return topics.compare_k(_topic_features(spark, sf), "doc_id")

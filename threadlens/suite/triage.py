@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from threadlens.functions import lexicons as lx
 from threadlens.functions import text as tx
-from threadlens.operators import features, gating, labelling, retrieval, threads
+from threadlens.operators import features, gating, labelling, models, retrieval, threads
 from threadlens.plans import report, triage
 from threadlens.session import cut_lineage, run_dir
 from threadlens.streaming.triage_stream import read_sink, triage_stream
 from threadlens.suite import fixtures as fx
 from threadlens.suite import sql as q
 from threadlens.suite.base import query
-from threadlens.suite.features import grams_sql, tfidf_sql, weights_sql
+from threadlens.suite.features import class_means_sql, grams_sql, tfidf_sql, weights_sql
 from threadlens.suite.relational import SPLIT_SQL, THREADS_SQL, WIDE_SQL, silver_split
 
 # -- retrieval ----------------------------------------------------------------
@@ -260,20 +260,20 @@ def _messages(df, contexts):
     )
 
 
-def demo_model(spark, sf, classifier=True):
+def demo_model(spark, sf, fit=triage.fit_demo_intent):
     cases = labelling.usable_silver(fx.pairs(spark, sf)).select(
         F.col("brand_tweet_id").alias("id"), F.col("customer_text").alias("customer"),
         F.col("silver_intent").alias("intent"), F.col("brand_response").alias("brand_reply"),
     )
-    return triage.fit_demo(cases, classifier=classifier)
+    return triage.fit_demo(cases, fit)
 
 
-def final_model(spark, sf, classifier=True):
+def final_model(spark, sf, fit=models.fit_intent):
     pairs = cut_lineage(fx.pairs(spark, sf))
     wide = threads.thread_wide(threads.thread_context(pairs, fx.tweets(spark, sf)))
     train = cut_lineage(silver_split(spark, sf).where("split = 'train'"))
     corpus = triage.final_corpus(wide, train, brand_label=fx.BRAND)
-    return triage.fit_final(train, corpus, classifier=classifier)
+    return triage.fit_final(train, corpus, fit=fit)
 
 
 @query("tr1_triage_demo")
@@ -291,22 +291,26 @@ def _tr2(spark, sf):
     )
 
 
-@query("tr3_triage_stream")
-def _tr3(spark, sf):
-    """The same triage over the conversations read as a stream."""
-    model = final_model(spark, sf)
+def _streamed(spark, sf, work):
+    """``work`` on the conversations read as a stream of messages."""
     schema = fx.table(spark, sf, "conversations").schema
     stream = spark.readStream.schema(schema).parquet(sf, pathGlobFilter="conversations.parquet")
     sink = run_dir(spark, "triage")
     job = triage_stream(
         _messages(fx.conversation_tweets(stream), cut_lineage(_contexts(spark, sf))),
-        lambda batch: triage.triage_final(batch, model),
-        sink, run_dir(spark, "triage-checkpoint"), available_now=True,
+        work, sink, run_dir(spark, "triage-checkpoint"), available_now=True,
     )
     job.awaitTermination()
     return read_sink(spark, sink)
 
 
+@query("tr3_triage_stream")
+def _tr3(spark, sf):
+    """The same triage over the conversations read as a stream."""
+    model = final_model(spark, sf)
+    return _streamed(spark, sf, lambda batch: triage.triage_final(batch, model))
+
+
 # Everything but the classifier, checked exactly: the intent of a message is its silver
 # label and the confidence follows from its length.
 
@@ -326,6 +330,15 @@ def _confidence_of(text: str) -> str:
     return f"((length({text}) * 7) % 101) / 100e0 AS confidence"
 
 
+def _tens(score: str) -> str:
+    """A score of six places in ten-thousandths, from whole millionths, half up."""
+    return f"((round({score} * 1000000)::BIGINT + 50) // 100)"
+
+
+def _four(score: str) -> str:
+    return f"{_tens(score)} / 10000e0"
+
+
 def _top_sql(key: str, k: int) -> str:
     """The k best cases per message, filled up with the smallest ids at score 0."""
     return f"""scored AS (
@@ -366,13 +379,13 @@ _DEMO_SQL = q.with_(
     ELSE {q.lit(lx.DEMO_REASON_AUTO)} END AS reason,
   CASE WHEN similarity < 0.2 THEN {q.lit(lx.DEMO_REPLY_CLARIFY)}
     WHEN intent <> case_intent THEN {q.lit(lx.DEMO_REPLY_GENERIC)} ELSE brand_reply END AS draft_reply,
-  (SELECT string_agg(f.intent || ':' || round(f.score * 10000)::BIGINT || ':' || f.customer, '|'
+  (SELECT string_agg(f.intent || ':' || {_tens('f.score')} || ':' || f.customer, '|'
     ORDER BY f.rank) FROM found f WHERE f.message_id = best.message_id) AS evidence
 FROM best""",
 )
 def _tr1_given(spark, sf):
     messages = cut_lineage(_messages(fx.tweets(spark, sf), _contexts(spark, sf)))
-    model = demo_model(spark, sf, classifier=False)
+    model = demo_model(spark, sf, fit=None)
     out = triage.triage_demo(messages, model, intents=_given(messages))
     similarity = "similarity"
     shown = F.transform(
@@ -413,7 +426,7 @@ def _final_sql(asked: str) -> str:
         "FROM asked a LEFT JOIN picked p USING (message_id))",
         f"gated AS (SELECT *, {_FINAL_REASON} AS reason FROM rows)",
         f"""triaged AS (SELECT message_id, intent, round(confidence, 4) AS intent_confidence,
-  round(similarity, 4) AS retrieval_similarity,
+  {_four('similarity')} AS retrieval_similarity,
   CASE WHEN similarity >= 0.25 THEN 'YES' ELSE 'NO' END AS evidence_sufficient,
   {q.cascade("lower(coalesce(response, ''))", lx.FINAL_ACTIONS, 'information')} AS action,
   {_HANDLING} AS handling, reason,
@@ -428,21 +441,50 @@ def _final_sql(asked: str) -> str:
     )
 
 
-@query(
-    "tr2_triage_final_given",
-    _final_sql(
-        f"SELECT t.tweet_id AS message_id, t.text AS message, coalesce(c.context, '') AS context, "
-        f"{_intent_of('t.text')} AS intent, {_confidence_of('t.text')} FROM tweets t "
-        "LEFT JOIN ctx c ON c.customer_tweet_id = t.tweet_id WHERE t.inbound"
-    )
-    + "SELECT * FROM triaged",
-)
+_TRIAGED = _final_sql(
+    f"SELECT t.tweet_id AS message_id, t.text AS message, coalesce(c.context, '') AS context, "
+    f"{_intent_of('t.text')} AS intent, {_confidence_of('t.text')} FROM tweets t "
+    "LEFT JOIN ctx c ON c.customer_tweet_id = t.tweet_id WHERE t.inbound"
+) + "SELECT * FROM triaged"
+
+
+@query("tr2_triage_final_given", _TRIAGED)
 def _tr2_given(spark, sf):
     messages = cut_lineage(_messages(fx.tweets(spark, sf), _contexts(spark, sf)))
-    model = final_model(spark, sf, classifier=False)
+    model = final_model(spark, sf, fit=None)
     return triage.triage_final(messages, model, intents=_given(messages))
 
 
+@query("tr3_triage_stream_given", _TRIAGED)
+def _tr3_given(spark, sf):
+    model = final_model(spark, sf, fit=None)
+    return _streamed(spark, sf, lambda b: triage.triage_final(b, model, intents=_given(b)))
+
+
+def _predicted(asked: str) -> str:
+    """``asked`` (message_id, message, context) with the intent and confidence of the
+    class-mean classifier of the training split."""
+    return f"""WITH m AS ({asked}),
+  tr AS (SELECT brand_tweet_id, {q.clean_basic('customer_text')} AS text, silver_intent
+    FROM split WHERE split = 'train'),
+  mt AS (SELECT message_id, {q.clean_basic('message')} AS text FROM m),
+  {class_means_sql('tr', 'brand_tweet_id', 'silver_intent', 'mt', 'message_id', features.FINAL)}
+  SELECT m.*, s.predicted AS intent, s.confidence FROM m JOIN scored_means s USING (message_id)"""
+
+
+_MESSAGES_SQL = (
+    "SELECT t.tweet_id AS message_id, t.text AS message, coalesce(c.context, '') AS context "
+    "FROM tweets t LEFT JOIN ctx c ON c.customer_tweet_id = t.tweet_id WHERE t.inbound"
+)
+
+
+@query("tr2_triage_final_means", _final_sql(_predicted(_MESSAGES_SQL)) + "SELECT * FROM triaged")
+def _tr2_means(spark, sf):
+    """Triage with a fitted classifier that SQL can fit as well."""
+    messages = cut_lineage(_messages(fx.tweets(spark, sf), _contexts(spark, sf)))
+    return triage.triage_final(messages, final_model(spark, sf, models.fit_class_means))
+
+
 # The golden rows carry the silver label of the message; the given intent is that of the
 # reply, so that both agree only sometimes.
 _GOLD_GATE = "CASE " + " ".join(
@@ -471,7 +513,7 @@ def _evaluated_given(spark, sf):
     golden = cut_lineage(_golden(spark, sf))
     replies = fx.pairs(spark, sf).select(F.col("brand_tweet_id").alias("message_id"), "brand_response")
     intents = _given(golden.join(replies, "message_id"), "brand_response")
-    model = final_model(spark, sf, classifier=False)
+    model = final_model(spark, sf, fit=None)
     return triage.golden_eval(golden, triage.triage_final(golden, model, intents=intents))
 
 
@@ -507,7 +549,7 @@ def _ev8_given(spark, sf):
     those of ev2 and ev3."""
     messages = cut_lineage(_messages(fx.tweets(spark, sf), _contexts(spark, sf)))
     out = triage.triage_demo(
-        messages, demo_model(spark, sf, classifier=False), intents=_given(messages)
+        messages, demo_model(spark, sf, fit=None), intents=_given(messages)
     )
     replies = fx.pairs(spark, sf).groupBy(F.col("customer_tweet_id").alias("message_id")).agg(
         F.min("brand_response").alias("reply")
