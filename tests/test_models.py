@@ -203,7 +203,8 @@ def test_frequencies(spark):
 )
 def test_exact_median(spark, values):
     df = spark.createDataFrame([(v,) for v in [*values, None]], "x double").repartition(3)
-    assert frequency.exact_median(df, "x", bins=4) == float(np.median(values))
+    for few in (4, 20):
+        assert frequency.exact_median(df, "x", few=few, bins=4) == float(np.median(values))
     assert frequency.exact_median(df, "x") == float(np.median(values))
 
 

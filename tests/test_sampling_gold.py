@@ -120,3 +120,22 @@ def test_apply_gold(spark):
 def test_apply_gold_needs_one_row_per_id(spark, ids):
     with pytest.raises(Exception, match="G-1: expected one row"):
         goldset.apply_gold(sheet(spark, ids), labels(spark, "G-1")).collect()
+
+
+def test_ranked_buckets_by_one_window_or_by_salted_parts(spark):
+    """A limit beyond Spark's threshold is applied to salted parts first: the same rows."""
+    rows = [(str(i), f"b{i}", "hot" if i % 3 else "cold", (i * 37) % 11) for i in range(900)]
+    df = spark.createDataFrame(rows, "customer_tweet_id string, brand_tweet_id string, g string, x int")
+    buckets = F.array(
+        sampling._entry("a", F.col("g"), -F.col("x")), F.when(F.col("x") > 5, sampling._entry("b", "", F.col("x")))
+    )
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    found = []
+    for threshold in ("1000", "1"):
+        spark.conf.set(key, threshold)
+        try:
+            ranked = sampling._ranked_buckets(df, buckets, {"a": 20, "b": 7})
+            found.append(sorted(tuple(r) for r in ranked.collect()))
+        finally:
+            spark.conf.unset(key)
+    assert found[0] == found[1] and len(found[0]) == 47

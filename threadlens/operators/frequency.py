@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadlens.session import cut_lineage
+
 BINS = 4_096
+FEW = 200_000  # values that the driver sorts at the end of a median
+_SKETCH_SIZE, _RANK_ERROR = 2_048, 0.01  # ranks from such a sketch are within 0.3 %
 
 
 def frequency(df: DataFrame, col: str) -> DataFrame:
@@ -61,17 +65,49 @@ def flag_share(df: DataFrame, flag: str) -> DataFrame:
     )
 
 
-def exact_median(df: DataFrame, col: str, bins: int = BINS) -> float | None:
+def exact_median(df: DataFrame, col: str, few: int = FEW, bins: int = BINS) -> float | None:
     """The median, midpoint of the two middle values for an even count; null and NaN do
-    not count. The built-in exact median keeps every distinct value in one task; here
-    only counts of ``bins`` bins reach the driver, pass after pass."""
+    not count. The built-in exact median keeps every distinct value in one task; here a
+    mergeable sketch brackets the middle, and the next pass counts what lies below the
+    bracket and sketches what lies in it, until at most ``few`` values are left to sort.
+    A million rows take two passes over one stored column, a billion three."""
     v = F.col(col).cast("double")
     values = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = values.count()
-    if n == 0:
+    values = cut_lineage(values)
+    inside, sketch = values.agg(F.count("*"), _sketch(F.col("v"))).first()
+    if inside == 0:
         return None
-    low, high = _value_at(values, (n - 1) // 2, bins), _value_at(values, n // 2, bins)
-    return low if low == high else (low + high) / 2
+    ranks = ((inside - 1) // 2, inside // 2)
+    low, high, below = float("-inf"), float("inf"), 0
+    while inside > few:
+        at = [(r - below) / inside for r in ranks]
+        ends = F.array(F.lit(max(at[0] - _RANK_ERROR, 0.0)), F.lit(min(at[1] + _RANK_ERROR, 1.0)))
+        low, high = values.sparkSession.range(1).select(
+            F.kll_sketch_get_quantile_double(F.lit(sketch), ends)
+        ).first()[0]
+        within = F.col("v").between(low, high)
+        under, now, sketch = values.agg(
+            F.count_if(F.col("v") < low), F.count_if(within), _sketch(F.when(within, F.col("v")))
+        ).first()
+        held = under <= ranks[0] and ranks[1] < under + now
+        if held and low == high:
+            return low
+        if not held or now > inside / 2:  # a bracket that missed, or values that repeat
+            found = [_value_at(values, r, bins) for r in ranks]
+            return found[0] if found[0] == found[1] else sum(found) / 2
+        inside, below = now, under
+    counts = values.where(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("n"))
+    found, upto = [], below
+    for r in sorted(counts.collect(), key=lambda r: r["v"]):  # ``few`` at most
+        upto += r["n"]
+        found += [r["v"]] * sum(1 for x in ranks[len(found) :] if x < upto)
+        if len(found) == 2:
+            break
+    return found[0] if found[0] == found[1] else sum(found) / 2
+
+
+def _sketch(v: Column) -> Column:
+    return F.kll_sketch_agg_double(v, _SKETCH_SIZE)
 
 
 def _value_at(values: DataFrame, rank: int, bins: int) -> float:

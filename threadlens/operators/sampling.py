@@ -150,18 +150,21 @@ def _ranked_buckets(df: DataFrame, buckets: Column, limits: Mapping[str, int]) -
     narrow = df.select(*PAIR_IDS, F.explode(F.array_compact(buckets)).alias("b")).select(
         *PAIR_IDS, "b.*"
     )
-    # A bucket may hold all rows. Its salted parts are limited first, so that the final
-    # ranking sees at most SALTS x limit rows of it, whatever the limit.
-    salt = F.pmod(F.xxhash64(*PAIR_IDS), F.lit(SALTS))
     order = ["k1", "k2", "k3", *PAIR_IDS]
-    parts = W.partitionBy("slice", "bucket", "salt").orderBy(*order)
     w = W.partitionBy("slice", "bucket").orderBy(*order)
     most = max(limits.values())
     limit_of = F.coalesce(*[F.when(F.col("slice") == s, F.lit(n)) for s, n in limits.items()])
+    # A bucket may hold all rows. Up to Spark's threshold a limit cuts every task's rows
+    # before the shuffle; beyond it the bucket's salted parts are limited first, so that
+    # the final ranking sees at most SALTS x limit rows of it.
+    if most > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        parts = W.partitionBy("slice", "bucket", "salt").orderBy(*order)
+        narrow = (
+            narrow.withColumn("salt", F.pmod(F.xxhash64(*PAIR_IDS), F.lit(SALTS)))
+            .withColumn("place", F.row_number().over(parts)).where(F.col("place") <= most)
+        )
     return (
-        narrow.withColumn("salt", salt)
-        .withColumn("place", F.row_number().over(parts)).where(F.col("place") <= most)
-        .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+        narrow.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
         .where(F.col("rank") <= limit_of)
         .select(*PAIR_IDS, "slice", "bucket", "rank")
     )
