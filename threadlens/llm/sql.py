@@ -28,7 +28,7 @@ FROM marked GROUP BY doc_id
 # Sources that reach three times their size are those with the smallest size per weight:
 # with sources in that order, the level is set by the first one that stays below it.
 MIXING = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, md5('17:' || doc_id) AS h,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
@@ -53,25 +53,24 @@ level AS (
 t AS (
   SELECT source, source_size, least(3.0::DOUBLE * source_size, weight * coalesce(level, 0)) AS target
   FROM s LEFT JOIN level ON true),
-q AS (
-  SELECT d.*, t.source_size, t.target,
-         sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id
-                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-o AS (
-  SELECT doc_id, h, size, turn,
-         CASE WHEN target > 0 THEN (turn * source_size + upto)::DOUBLE / target ELSE 0 END AS finish
-  FROM q, range(3) e(turn)
-  WHERE turn < CASE WHEN source_size > 0 THEN greatest(1, ceil(target / source_size)) ELSE 1 END),
-m AS (
-  SELECT doc_id, size, sum(size) OVER (ORDER BY finish, h, doc_id, turn
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM o),
-c AS (
-  SELECT doc_id, count(*) AS copies FROM m
-  WHERE used <= (SELECT sum(size) FROM d) GROUP BY doc_id)
-SELECT q.doc_id, q.size, q.source_size, q.target,
-       (coalesce(c.copies, 0) * q.size)::BIGINT AS taken
-FROM q LEFT JOIN c ON q.doc_id = c.doc_id
+g AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS i FROM d WHERE size > 0),
+-- One document of every source at a time: it is taken if what is left of the target holds it.
+walk(source, i, used, taken) AS (
+  SELECT source, 0::BIGINT, 0::BIGINT, false FROM g
+  UNION ALL
+  SELECT w.source, n.i, CASE WHEN w.used + n.size <= g.target - g.whole * g.source_size
+                             THEN w.used + n.size ELSE w.used END,
+         w.used + n.size <= g.target - g.whole * g.source_size
+  FROM walk w JOIN n ON n.source IS NOT DISTINCT FROM w.source AND n.i = w.i + 1
+  JOIN g ON g.source IS NOT DISTINCT FROM w.source)
+SELECT d.doc_id, d.size, g.source_size, g.target,
+       ((g.whole + CASE WHEN w.taken THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+LEFT JOIN n ON n.doc_id = d.doc_id
+LEFT JOIN walk w ON w.source IS NOT DISTINCT FROM n.source AND w.i = n.i
 """
 
 NEAR_DUPLICATES = rf"""
