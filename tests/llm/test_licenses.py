@@ -250,3 +250,26 @@ def test_each_rule_is_reached(spark):
     texts = ["\n".join(SAID[i].rstrip("\n") for i in ids.split()) for _, ids in RULES]
     got = scanned(spark, texts)
     assert [(ids, x) for (_, ids), x in zip(RULES, got)] == [(ids, ([n], [])) for n, ids in RULES]
+
+
+def test_the_query_names_what_spdx_tags_say(spark, tmp_path):
+    """A document whose only mark is an SPDX line, in the query and in its SQL."""
+    import compare
+    import duckdb
+    from threadlens.llm.queries import ORACLES, QUERIES
+
+    lines = ["MIT", "apache-2.0", "(GPL-2.0-only WITH Classpath-exception-2.0) OR BSD-3-Clause",
+             "LGPL-2.1+ and CC-BY-NC-SA-4.0", "Own-Thing", "CC0-1.0 OR unlicense OR AGPL-3.0-or-later"]
+    docs = [(i, f"some text\n// SPDX-License-Identifier: {x} */\nmore") for i, x in enumerate(lines)]
+    docs += [(20, "\n".join(t for _, t in docs[:3])), (21, None), (22, "SPDX-License-Identifier:")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["op3_license_scan"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert compare.differences(found, con, ORACLES["op3_license_scan"]) == []
+    got = {r.doc_id: r.tagged for r in found.collect()}
+    assert [got[i] for i in range(6)] == [
+        "MIT", "Apache-2.0", "BSD-3-Clause,GPL-2.0", "CC-BY-NC-SA,LGPL", "Own-Thing",
+        "AGPL-3.0,CC0-1.0,Unlicense",
+    ]
+    assert got[20] == "Apache-2.0,BSD-3-Clause,GPL-2.0,MIT" and got[21] == got[22] == ""

@@ -50,6 +50,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("sentences", lambda s: s["id"]), ",").alias("sentence_ids"),
         F.array_join("licenses", ",").alias("licenses"),
         F.array_join("unmatched", ",").alias("unmatched"),
+        F.array_join("tagged", ",").alias("tagged"),
     )
 
 

@@ -210,6 +210,35 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n
 """
 
 
+# What SPDX tags name, by hand: expressions, their parts, and the licenses' names.
+_SPDX_TAGGED = r"""
+tags AS (
+  SELECT doc_id, unnest(regexp_extract_all(text,
+    '(?i)spdx-license-identifier:[ \t]*((?:\([ \t]*)*[a-z0-9](?:[a-z0-9.+:-]*[a-z0-9+])?(?:[ \t]*\))*(?:[ \t]+(?:and|or|with)[ \t]+(?:\([ \t]*)*[a-z0-9](?:[a-z0-9.+:-]*[a-z0-9+])?(?:[ \t]*\))*)*)',
+    1)) AS expression
+  FROM documents),
+spdx AS (
+  SELECT doc_id, trim(unnest(string_split_regex(
+    translate(regexp_replace(expression, '(?i)[ \t]+with[ \t]+[^ \t()]+', '', 'g'), '()', '  '),
+    '(?i)[ \t]+(?:and|or)[ \t]+')), ' ' || chr(9)) AS id
+  FROM tags),
+tagged AS (
+  SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS tagged FROM (
+    SELECT doc_id, CASE
+      WHEN lower(id) IN ('mit', 'isc') THEN upper(id)
+      WHEN lower(id) = 'unlicense' THEN 'Unlicense'
+      WHEN lower(id) IN ('apache-2.0') THEN 'Apache-2.0'
+      WHEN lower(id) IN ('bsd-2-clause', 'bsd-3-clause') THEN 'BSD-' || substr(id, 5, 1) || '-Clause'
+      WHEN lower(id) IN ('mpl-2.0', 'cc0-1.0') THEN upper(id)
+      WHEN regexp_full_match(id, '(?i)lgpl-(2\.0|2\.1|3\.0)(-only|-or-later|\+)?') THEN 'LGPL'
+      WHEN regexp_full_match(id, '(?i)(agpl-3|gpl-2|gpl-3)\.0(-only|-or-later|\+)?')
+        THEN upper(regexp_extract(id, '^[^.]*')) || '.0'
+      WHEN regexp_full_match(id, '(?i)cc-by(-nc-sa|-nc-nd|-nc|-sa|-nd)?-[0-9.]+')
+        THEN upper(regexp_replace(id, '-[0-9.]+$', ''))
+      ELSE id END AS name
+    FROM spdx WHERE id <> '') GROUP BY doc_id)"""
+
+
 def license_scan() -> str:
     """The rules one after the other, as nested queries."""
     cases = "\n".join(
@@ -238,9 +267,10 @@ runs AS (
   SELECT d.doc_id, count(k.id) AS pos, string_agg(k.id, ',' ORDER BY k.place) AS ids,
          string_agg(',' || k.id || ',', '' ORDER BY k.place) AS run
   FROM documents d LEFT JOIN (SELECT * FROM known WHERE id IS NOT NULL) k ON k.doc_id = d.doc_id
-  GROUP BY d.doc_id)
+  GROUP BY d.doc_id),{_SPDX_TAGGED}
 SELECT doc_id, pos AS n_sentences, ids AS sentence_ids,
        array_to_string(list_sort(list_distinct(found)), ',') AS licenses,
-       array_to_string(list_filter(string_split(run, ','), lambda x: x <> ''), ',') AS unmatched
-FROM ({state})
+       array_to_string(list_filter(string_split(run, ','), lambda x: x <> ''), ',') AS unmatched,
+       coalesce(tagged.tagged, '') AS tagged
+FROM ({state}) LEFT JOIN tagged USING (doc_id)
 """
