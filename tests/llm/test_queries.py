@@ -76,8 +76,11 @@ def test_score_queries(spark, name, label):
     assert found.where("score < 0 or score > 1 or predicted <> int(score >= 0.3)").isEmpty()
     truth = spark.read.parquet(f"{SF}/labels.parquet").select(F.col("doc_id").alias("i"), label)
     joined = found.join(truth, F.col("doc_id") == F.col("i"))
-    # The smallest tables label few rows; the larger ones reach more (README).
-    assert joined.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0] >= 0.8
+    counts = {(r[label], r.predicted): r["count"] for r in joined.groupBy(label, "predicted").count().collect()}
+    rates = [counts.get((c, c), 0) / max(counts.get((c, 0), 0) + counts.get((c, 1), 0), 1) for c in (0, 1)]
+    precision = counts.get((1, 1), 0) / max(counts.get((0, 1), 0) + counts.get((1, 1), 0), 1)
+    # A constant answer has one of the rates at 0. The larger tables reach more (README).
+    assert min(rates) >= 0.75 and precision >= 0.75
 
 
 APACHE = """Copyright 2019 A. Person
@@ -119,8 +122,10 @@ def test_pipeline_stages_against_brute_force(spark):
     raw, good, lines, single, mixed, packed = steps
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = {r.doc_id for r in good.collect()}
-    judged = [(kept_id in kept) == (labels[kept_id] == 1) for kept_id in (r.doc_id for r in raw.collect()) if kept_id in labels]
-    assert sum(judged) >= 0.8 * len(judged)
+    seen = [r.doc_id for r in raw.collect() if r.doc_id in labels]
+    for quality in (0, 1):
+        judged = [(i in kept) == (quality == 1) for i in seen if labels[i] == quality]
+        assert sum(judged) >= 0.75 * len(judged) > 0
 
     from test_lines_and_mixing import expected_lines
 
