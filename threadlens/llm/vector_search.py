@@ -194,6 +194,7 @@ def _search(width: int, k: int):
         if len(q) and len(s):
             x = stacked(s["vec"].to_list(), width)
             ids, held = s["id"].to_numpy(np.int64), s["list"].to_numpy(np.int64)
+            names, of = np.unique(ids, return_inverse=True)
             for at in range(0, len(q), 128):
                 part = q.iloc[at : at + 128]
                 y = stacked(part["vec"].to_list(), width)
@@ -202,11 +203,15 @@ def _search(width: int, k: int):
                     use = np.flatnonzero(np.isin(held, lists) & (ids != own))
                     if len(use) == 0:
                         continue
-                    rough = near[i, use]
-                    last = len(use) - k * COPIES  # a vector may be there several times
+                    # An id may be there any number of times; its best row counts.
+                    best = np.full(len(names), -np.inf)
+                    np.maximum.at(best, of[use], near[i, use])
+                    last = len(names) - k
                     if last > 0:  # ties with the last stay for the exact order
-                        floor = np.partition(rough, last)[last]
-                        use = use[rough >= floor - 1e-9 * (1 + abs(floor))]
+                        floor = np.partition(best, last)[last]
+                        if np.isfinite(floor):
+                            floor -= 1e-9 * (1 + abs(floor))
+                        use = use[near[i, use] >= floor]
                     found += _ranked(own, y[i], ids[use], x[use], k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype(
             {"query_id": "int64", "vec_id": "int64", "score": "float64"}
@@ -221,11 +226,11 @@ def _ranked(own: int, query: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int)
     for d in range(x.shape[1]):
         score += query[d] * x[:, d]
     order = np.lexsort((ids, -score))
-    out, last = [], None
+    out, seen = [], set()
     for i in order:
-        if ids[i] != last:
+        if ids[i] not in seen:
             out.append((own, ids[i], score[i]))
-            last = ids[i]
+            seen.add(ids[i])
         if len(out) == k:
             break
     return out
@@ -308,13 +313,6 @@ def _found(posted: DataFrame, asked: DataFrame, index: Index, k: int, everywhere
     width = F.array(*map(F.lit, spread))
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    held = posted.select(
-        "id", "vec", "list", F.array().cast("array<int>").alias("lists"),
-        F.lit(False).alias("asks"),
-        (F.get(begin, F.col("list")) + F.pmod(F.xxhash64("id"), F.get(width, F.col("list"))))
-        .cast("int").alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
     probes = asked.mapInPandas(
         _probe(index, everywhere), "id long, vec array<double>, lists array<int>"
     )
@@ -326,9 +324,22 @@ def _found(posted: DataFrame, asked: DataFrame, index: Index, k: int, everywhere
             )
         )
     )
-    asking = probes.select(
-        "id", "vec", F.lit(-1).alias("list"), "lists", F.lit(True).alias("asks"),
-        F.explode(shards).alias("shard"), block.alias("block"),
+    asking = cut_lineage(
+        probes.select(
+            "id", "vec", F.lit(-1).alias("list"), "lists", F.lit(True).alias("asks"),
+            F.explode(shards).alias("shard"), block.alias("block"),
+        )
+    )
+    # A shard goes to the blocks of queries that ask for it.
+    pairs = asking.select(F.col("shard").alias("wanted"), "block").distinct()
+    shard = F.get(begin, F.col("list")) + F.pmod(F.xxhash64("id"), F.get(width, F.col("list")))
+    held = (
+        posted.withColumn("shard", shard.cast("int"))
+        .join(pairs, F.col("shard") == F.col("wanted"))
+        .select(
+            "id", "vec", "list", F.array().cast("array<int>").alias("lists"),
+            F.lit(False).alias("asks"), "shard", "block",
+        )
     )
     best = (
         held.unionByName(asking).groupBy("shard", "block")
