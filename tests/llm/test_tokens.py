@@ -155,6 +155,6 @@ def test_a_long_text_is_counted_as_a_whole(spark):
     whole = Tokenizer.from_file(BYTE_BPE)
     text = "".join(f"word {i} it's  a\n\n long text, " for i in range(60_000))
     docs = spark.createDataFrame([(1, text), (2, "a" * 100_000)], "doc_id long, text string")
-    got = {r.doc_id: r.n_tokens for r in count_tokens(docs, BYTE_BPE).collect()}
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, BYTE_BPE).collect()}
     assert got[1] == len(whole.encode(text, add_special_tokens=False).ids)
     assert got[2] == len(whole.encode("a" * 100_000, add_special_tokens=False).ids)

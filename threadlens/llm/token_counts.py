@@ -27,13 +27,16 @@ from threadlens.llm.encoding import byte_level_cut, encoded_segments, load_token
 from threadlens.session import cut_lineage
 
 CHUNK_CHARS, OVERLAP_CHARS, MARGIN_CHARS = 32_768, 1_024, 16
+CHUNKS_AT_ONCE = 32
 
 
 def _count_whole(path: str, keys: list[str]):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load_tokenizer(path)
         for batch in batches:
-            found = encoded_segments(tokenizer, batch["__text"], byte_level_cut, joint=" ")
+            found = encoded_segments(
+                tokenizer, batch["__text"], byte_level_cut, joint=" ", name=path
+            )
             sizes = [sum(map(len, x)) // 4 for x in found]
             yield batch[[*keys, "n_bytes"]].assign(n_tokens=sizes)
 
@@ -76,19 +79,32 @@ CHUNK_ROW = (
 )
 
 
+def _cut(chunk: int, overlap: int):
+    """Each text once through a task, in slices."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row, text in zip(batch["row"], batch["text"]):
+                places = range(0, len(text), chunk)
+                for at in range(0, len(places), CHUNKS_AT_ONCE):
+                    some = places[at : at + CHUNKS_AT_ONCE]
+                    yield pd.DataFrame(
+                        {"row": row, "k": range(at, at + len(some)),
+                         "part": [text[i : i + chunk + overlap] for i in some]}
+                    )
+
+    return cut
+
+
 def _encoded_chunks(texts: DataFrame, path: str, chunk: int, overlap: int, margin: int):
     """One row per chunk: its number of tokens, and the word boundaries in the part it
     shares with the chunk before and after it (offsets within that part)."""
-    last = F.floor((F.char_length("text") - 1) / chunk).cast("int")
-    parts = (
-        texts.select("row", "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-        .select(
-            "row", "k",
-            F.substring("text", F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("part"),
-        )
-        .repartition("row", "k")
+    parts = texts.select("row", "text").mapInPandas(
+        _cut(chunk, overlap), "row long, k int, part string"
+    )
+    return parts.repartition("row", "k").mapInPandas(
+        _count_chunks(path, chunk, overlap, margin), CHUNK_ROW
     )
-    return parts.mapInPandas(_count_chunks(path, chunk, overlap, margin), CHUNK_ROW)
 
 
 def count_tokens(
