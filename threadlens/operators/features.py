@@ -136,6 +136,18 @@ def fit_tfidf(docs: DataFrame, key: str, text: str, settings: TermSettings = DEM
     return TfIdf(vocab.select("term", idf(F.col("df"), n_docs).alias("idf")), settings)
 
 
+def fit_transform(
+    docs: DataFrame, key: str, text: str, settings: TermSettings = DEMO
+) -> tuple[TfIdf, DataFrame]:
+    """A fitted vocabulary, stored, and the weights of the texts it was fitted on, which are
+    cut into terms once for both."""
+    counts = cut_lineage(term_counts(docs, key, text, settings))
+    n_docs = docs.agg(F.count("*").cast("double")).scalar()
+    vocab = vocabulary(counts, n_docs, settings)
+    fitted = TfIdf(vocab.select("term", idf(F.col("df"), n_docs).alias("idf")), settings).stored()
+    return fitted, weights(counts, fitted.terms, key, settings.max_features)
+
+
 def tfidf(docs: DataFrame, key: str, text: str, settings: TermSettings = DEMO) -> DataFrame:
     """(key, term, weight) of every text over the vocabulary of all of them."""
     return fit_tfidf(docs, key, text, settings).transform(docs, key, text)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from threadlens.functions import lexicons as lx
 from threadlens.operators.features import (
-    BASELINE, TermSettings, TfIdf, class_weights, fit_tfidf,
+    BASELINE, TermSettings, TfIdf, class_weights, fit_tfidf, fit_transform,
 )
 from threadlens.operators.sizing import broadcast_bounded
 from threadlens.session import cut_lineage
@@ -139,10 +139,9 @@ def fit_intent(
     once to the shared folder: the optimiser passes over them many times. Without
     ``max_features`` every term counts, and the model holds a weight per term and
     class: set it where that outgrows the driver."""
-    stored = fit_tfidf(train, key, text, settings).stored()
-    n_terms = stored.terms.count()
-    terms = cut_lineage(indexed_terms(stored.terms))
-    fitted = TfIdf(terms.select("term", "idf"), settings)
+    fitted, own = fit_transform(train, key, text, settings)
+    terms = cut_lineage(indexed_terms(fitted.terms))
+    n_terms = terms.count()
     weights = cut_lineage(class_weights(train, label))
     rows, labels = _labels(weights, label)
     names = F.array(*[F.lit(x) for x in labels])
@@ -153,9 +152,7 @@ def fit_intent(
         (F.array_position(names, F.col(label)) - 1).cast("double").alias("label"),
     )
     vectors = cut_lineage(
-        to_vectors(
-            prepared, key, fitted.transform(prepared, key, text), terms, n_terms
-        ).select("features", "label", "weight")
+        to_vectors(prepared, key, own, terms, n_terms).select("features", "label", "weight")
     )
     n = sum(r["count"] for r in rows)
     lr = LogisticRegression(

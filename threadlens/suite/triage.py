@@ -37,10 +37,9 @@ def _documents_and_queries(spark, sf):
 
 def _retrieved(spark, sf, k):
     cases, asked = _documents_and_queries(spark, sf)
-    fitted = features.fit_tfidf(cases, "case_id", "text", _TERMS).stored()
+    fitted, weights = features.fit_transform(cases, "case_id", "text", _TERMS)
     return retrieval.retrieve(
-        cut_lineage(fitted.transform(asked, "item_id", "text")),
-        cut_lineage(fitted.transform(cases, "case_id", "text")),
+        cut_lineage(fitted.transform(asked, "item_id", "text")), cut_lineage(weights),
         k, "item_id", "case_id", ["intent"], queries=asked, cases=cases,
     )
 
