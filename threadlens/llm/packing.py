@@ -38,7 +38,7 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
         end = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
-            encoded = encoded_segments(tokenizer, batch["text"], word_cut, fold)
+            encoded = encoded_segments(tokenizer, batch["text"], word_cut, fold, name=path)
             rows = []
             for doc_id, parts in zip(batch["doc_id"], encoded):
                 data = b"".join(parts) + end
