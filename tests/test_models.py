@@ -313,6 +313,17 @@ def test_classifier_matches_a_direct_solution(spark):
     assert all(abs(got[k] - want[k]) < 2e-3 for k in want)
 
 
+def test_classifier_without_arrow(spark):
+    name = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        model = models.fit_intent(cases(spark), "id", "customer", "intent", features.DEMO)
+        assert model.coefficients.count() == model.bound
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_one_class_is_refused(spark):
     with pytest.raises(ValueError, match="two classes"):
         models.fit_intent(cases(spark).where("intent = 'refund'"), "id", "customer", "intent", features.DEMO)
