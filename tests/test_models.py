@@ -10,6 +10,7 @@ from threadlens.operators import (
     evaluation, features, frequency, gating, kmeans, models, retrieval, topics,
 )
 from threadlens.plans import triage
+from threadlens.session import cut_lineage
 
 
 def docs(spark, texts):
@@ -104,6 +105,32 @@ def test_retrieval_against_brute_force(spark):
     assert 15 not in want
 
 
+def test_retrieval_in_blocks(spark, monkeypatch):
+    """The same result however the texts are cut into blocks."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(60)], 8)) for _ in range(90)]
+    corpus = docs(spark, texts + texts[:30])
+    weights = cut_lineage(features.tfidf(corpus, "id", "text"))
+    asked = weights.withColumnRenamed("id", "q")
+    found = []
+    for cells, dense in ((10**6, 10**6), (150, 0)):
+        monkeypatch.setattr(retrieval, "_CELLS", cells)
+        monkeypatch.setattr(retrieval, "_DENSE", dense)
+        monkeypatch.setattr(retrieval, "_AT_ONCE", 100 if dense else 10**6)
+        rows = retrieval.retrieve(asked, weights, 4, "q", "id").collect()
+        found.append(sorted((r.q, r["rank"], r.id, r.score) for r in rows))
+    assert found[0] == found[1] and len(found[0]) == 480
+    assert all(score == 1.0 for _, rank, _, score in found[0] if rank == 1)
+
+
+def test_retrieval_shuffles_no_pairs(spark):
+    """All texts share a word, so that adding up joined pairs would shuffle each of them."""
+    corpus = docs(spark, [f"word w{i % 7}x w{i % 11}y" for i in range(300)])
+    weights = cut_lineage(features.tfidf(corpus, "id", "text"))
+    scored = retrieval._scored(weights.withColumnRenamed("id", "q"), weights, 3, "q", "id")
+    assert scored.count() <= 300 * 3 * retrieval._SPREAD
+
+
 def test_prefer_same_intent(spark):
     rows = spark.createDataFrame(
         [("a", 1, .9, "x", "y"), ("a", 2, .5, "y", "y"), ("a", 3, .5, "y", "y"),
