@@ -51,6 +51,24 @@ def test_tfidf_against_brute_force(spark, settings):
         assert all(math.isclose(g[t], w[t], rel_tol=1e-12) for t in w)
 
 
+def test_counts_are_not_shuffled(spark, monkeypatch):
+    """Rows of one id are one text, wherever batches end; weights need one shuffle, of texts."""
+    monkeypatch.setattr(features, "_WORDS", 3)
+    rows = [(i // 2 if i < 8 else None, f"aa b{i % 3}b cc aa b{i % 3}b") for i in range(10)]
+    d = spark.createDataFrame(rows, "id int, text string")
+    got = {(r.id, r.term): r.tf for r in features.term_counts(d, "id", "text").collect()}
+    want = {}
+    for i, text in rows:
+        w = text.split()
+        for term in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]:
+            want[i, term] = want.get((i, term), 0) + 1
+    assert got == want
+    s = features.TermSettings(1, 1.0, 50)
+    fitted = features.fit_tfidf(d, "id", "text", s).stored()
+    plan = fitted.transform(d, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_common_terms_salted(spark):
     d = docs(spark, TEXTS)
     counts = features.term_counts(d, "id", "text")
