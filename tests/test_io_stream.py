@@ -187,3 +187,21 @@ def test_csv_headers_are_checked_and_open_quotes_end_with_the_file(spark, tmp_pa
     (tmp_path / "y.csv").write_text("text,id\n1,2\n")
     with pytest.raises(Exception, match="the header is not id,text"):
         readers.read_csv_strings(spark, str(tmp_path / "y.csv"), ["id", "text"]).collect()
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_conversation_stream_of_files_and_folders(spark, tmp_path, folder):
+    from threadlens.suite import triage as queries
+
+    rows = spark.range(20).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "'x' AS text")
+    path = tmp_path / "conversations.parquet"
+    if folder:
+        rows.repartition(3).write.parquet(str(path))
+    else:
+        rows.toPandas().to_parquet(path)
+    job = (
+        queries._conversation_stream(spark, str(tmp_path)).writeStream.format("memory")
+        .queryName(f"conversations_{folder}").trigger(availableNow=True).start()
+    )
+    job.awaitTermination()
+    assert spark.table(f"conversations_{folder}").count() == 20
