@@ -68,7 +68,9 @@ def _sl4(spark, sf):
 
 
 def distinct_v2(spark, sf):
-    df = labelling.label_v2(fx.contextual(spark, sf), ["intent", "flags", "ambiguity"])
+    df = labelling.label_v2(
+        fx.contextual(spark, sf), ["intent", "flags", "ambiguity"], cleaned="clean_current"
+    )
     return sampling.distinct_messages_v2(df)
 
 
