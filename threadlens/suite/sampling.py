@@ -71,7 +71,15 @@ def distinct_v2(spark, sf):
     df = labelling.label_v2(
         fx.contextual(spark, sf), ["intent", "flags", "ambiguity"], cleaned="clean_current"
     )
-    return sampling.distinct_messages_v2(df)
+    # What the samples are drawn by: whole texts would be shuffled and stored for nothing.
+    return sampling.distinct_messages_v2(
+        df,
+        [
+            *sampling.PAIR_IDS, "customer_created_at", "context_turn_count", "candidate_intent",
+            "candidate_score", "escalation_flags", "escalation_candidate", "ambiguity_score",
+            "ambiguity_candidate",
+        ],
+    )
 
 
 # -- splits -------------------------------------------------------------------
