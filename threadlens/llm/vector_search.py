@@ -26,9 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadlens.llm.vectors import cluster, sample, squared_distances, stacked, usable
-from threadlens.session import cut_lineage
+from threadlens.session import cut_lineage, run_dir, scratch, store
 
 TRAINING_ROWS, MAX_LISTS, LIST_ROWS = 20_000, 4_096, 200
 LINKS, RANDOM_LINKS, WIDEN = 12, 4, 4
@@ -251,15 +252,18 @@ def search_vectors(
     lists give fewer than ``k`` candidates, though there are more, is searched in all
     lists, which is exact. Ids must be integers."""
     spark = vectors.sparkSession
-    double = F.col(vec).cast("array<double>").alias("vec")
+    # Floats stay floats where they are stored and shuffled; they are computed with as doubles.
+    floats = all(_floats(df, vec) for df in (vectors, queries))
+    kind = "array<float>" if floats else "array<double>"
     stored, asked = (
         cut_lineage(
-            df.select(F.col(vec_id).cast("long").alias("id"), double)
+            df.select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast(kind).alias("vec"))
             .where(F.col("id").isNotNull() & usable("vec"))
         )
         for df in (vectors, queries)
     )
-    square = F.aggregate("vec", F.lit(0e0), lambda a, x: a + x * x)
+    whole = F.col("vec").cast("array<double>")
+    square = F.aggregate(whole, F.lit(0e0), lambda a, x: a + x * x)
     total, longest, width = stored.agg(F.count("*"), F.max(square), F.max(F.size("vec"))).first()
     width = max(width or 0, asked.agg(F.max(F.size("vec"))).first()[0] or 0)
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -271,9 +275,9 @@ def search_vectors(
     rows = stacked([r["vec"] for r in chosen], width)
     index = build_index(rows, float(np.sqrt(longest)) * (1 + 1e-12), total, k, coverage, lists)
     posted = cut_lineage(
-        stored.mapInPandas(_post(index), "id long, vec array<double>, list int")
+        stored.mapInPandas(_post(index), f"id long, vec {kind}, list int")
     )
-    found = cut_lineage(_found(posted, asked, index, k, everywhere=False))
+    found = _found(posted, asked, index, k, everywhere=False)
     enough = F.lit(min(k, total - 1))
     short = asked.join(
         found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= enough),
@@ -288,6 +292,11 @@ def search_vectors(
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+def _floats(df: DataFrame, vec: str) -> bool:
+    kind = df.schema[vec].dataType
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+
+
 def _shards(posted: DataFrame, lists: int) -> tuple[list[int], list[int]]:
     """For each list its first shard and how many it is spread over. There are at most
     ``MAX_LISTS`` lists, so their sizes fit the driver."""
@@ -308,13 +317,17 @@ def _shards(posted: DataFrame, lists: int) -> tuple[list[int], list[int]]:
 
 
 def _found(posted: DataFrame, asked: DataFrame, index: Index, k: int, everywhere: bool):
+    """The best ``k`` that the lists give for each query, stored. A block of queries is
+    searched at a time: the vectors it asks for are shuffled and dropped again, so that
+    disk does not grow with the number of blocks."""
+    spark = posted.sparkSession
     first, spread = _shards(posted, len(index.centers))
     begin = F.array(*map(F.lit, first))
     width = F.array(*map(F.lit, spread))
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     probes = asked.mapInPandas(
-        _probe(index, everywhere), "id long, vec array<double>, lists array<int>"
+        _probe(index, everywhere), f"id long, vec {asked.schema['vec'].dataType.simpleString()}, lists array<int>"
     )
     shards = F.array_distinct(
         F.flatten(
@@ -324,27 +337,31 @@ def _found(posted: DataFrame, asked: DataFrame, index: Index, k: int, everywhere
             )
         )
     )
-    asking = cut_lineage(
-        probes.select(
-            "id", "vec", F.lit(-1).alias("list"), "lists", F.lit(True).alias("asks"),
-            F.explode(shards).alias("shard"), block.alias("block"),
-        )
-    )
-    # A shard goes to the blocks of queries that ask for it.
-    pairs = asking.select(F.col("shard").alias("wanted"), "block").distinct()
     shard = F.get(begin, F.col("list")) + F.pmod(F.xxhash64("id"), F.get(width, F.col("list")))
-    held = (
-        posted.withColumn("shard", shard.cast("int"))
-        .join(pairs, F.col("shard") == F.col("wanted"))
-        .select(
-            "id", "vec", "list", F.array().cast("array<int>").alias("lists"),
-            F.lit(False).alias("asks"), "shard", "block",
-        )
-    )
-    best = (
-        held.unionByName(asking).groupBy("shard", "block")
-        .applyInPandas(_search(index.width, k), "query_id long, vec_id long, score double")
-        .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    path = run_dir(spark, "table")
+    with scratch(spark):
+        probes = cut_lineage(probes)
+        for b in range(blocks):
+            asking = probes.where(block == b).select(
+                "id", "vec", F.lit(-1).alias("list"), "lists", F.lit(True).alias("asks"),
+                F.explode(shards).alias("shard"),
+            )
+            # Of the shards those that the block asks for.
+            wanted = asking.select(F.col("shard").alias("wanted")).distinct()
+            held = (
+                posted.withColumn("shard", shard.cast("int"))
+                .join(wanted, F.col("shard") == F.col("wanted"))
+                .select(
+                    "id", "vec", "list", F.array().cast("array<int>").alias("lists"),
+                    F.lit(False).alias("asks"), "shard",
+                )
+            )
+            best = (
+                held.unionByName(asking).groupBy("shard")
+                .applyInPandas(_search(index.width, k), "query_id long, vec_id long, score double")
+                .groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+            )
+            ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            store(ranked, path, "append")
+    return spark.read.schema(ranked.schema).parquet(path)
