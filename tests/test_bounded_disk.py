@@ -1,5 +1,10 @@
 """What passes over large tables shuffle and store."""
 
+import json
+import os
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -62,3 +67,35 @@ def test_topic_vectors_are_stored_unscaled_and_once(spark):
         ["id"], "t", columns=["id", "clean_text"],
     )
     assert [tuple(r) for r in messages.collect()] == [(0, "red apple pie")]
+
+
+def test_a_shard_gets_only_its_own_lists_of_a_query(spark, monkeypatch):
+    pick = np.random.default_rng(3)
+    rows = [(i, pick.normal(size=4).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vector_search, "SHARD_ROWS", 40)
+    spread, plain = [], vector_search._shards
+    monkeypatch.setattr(vector_search, "_shards", lambda *args: spread.append(plain(*args)) or spread[-1])
+    sent, search = [], vector_search._search
+    folder = tempfile.mkdtemp(prefix="run-")
+
+    def watched(width, k):
+        found = search(width, k)
+
+        def look(frame):
+            q = frame[frame["asks"].to_numpy(bool)]
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                json.dump([[int(s), [int(x) for x in x]] for s, x in zip(q["shard"], q["lists"])], f)
+            return found(frame)
+
+        return look
+
+    monkeypatch.setattr(vector_search, "_search", watched)
+    found = vector_search.search_vectors(vectors, vectors.where("vec_id % 3 = 0"), k=5, lists=12, coverage=1.0)
+    assert found.count() == 500
+    for name in os.listdir(folder):
+        with open(f"{folder}/{name}") as f:
+            sent += json.load(f)
+    first, parts = spread[0]
+    assert len({s for s, _ in sent}) > 1
+    assert all(x and all(first[i] <= s < first[i] + parts[i] for i in x) for s, x in sent)

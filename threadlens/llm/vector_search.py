@@ -338,14 +338,20 @@ def _found(posted: DataFrame, asked: DataFrame, index: Index, k: int, everywhere
         )
     )
     shard = F.get(begin, F.col("list")) + F.pmod(F.xxhash64("id"), F.get(width, F.col("list")))
+    in_shard = lambda i: F.col("shard").between(
+        F.get(begin, i), F.get(begin, i) + F.get(width, i) - 1
+    )
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     path = run_dir(spark, "table")
     with scratch(spark):
         probes = cut_lineage(probes)
         for b in range(blocks):
+            # To a shard goes what it holds of a query's lists, not all of them.
             asking = probes.where(block == b).select(
-                "id", "vec", F.lit(-1).alias("list"), "lists", F.lit(True).alias("asks"),
-                F.explode(shards).alias("shard"),
+                "id", "vec", "lists", F.explode(shards).alias("shard")
+            ).select(
+                "id", "vec", F.lit(-1).alias("list"), F.filter("lists", in_shard).alias("lists"),
+                F.lit(True).alias("asks"), "shard",
             )
             # Of the shards those that the block asks for.
             wanted = asking.select(F.col("shard").alias("wanted")).distinct()
